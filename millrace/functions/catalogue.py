@@ -92,7 +92,7 @@ def _similarity_sql(a: str, b: str, measure: str = "levenshtein") -> str:
         raise ValueError(f"Unknown measure {name!r}; one of {', '.join(MEASURES)}")
     if name == "levenshtein":
         longest = f"greatest(length({a}), length({b}))"
-        return f"CASE WHEN {longest} = 0 THEN 1.0D ELSE 1 - levenshtein({a}, {b}) / {longest} END"
+        return f"CASE WHEN length({a}) + length({b}) = 0 THEN 1.0D ELSE 1 - levenshtein({a}, {b}) / {longest} END"
     if name == "hamming":
         differing = (
             f"aggregate(zip_with(split({a}, ''), split({b}, ''), (x, y) -> IF(x = y, 0, 1)), 0, (t, x) -> t + x)"

@@ -28,7 +28,8 @@ WINKLER_FROM = 0.7
 def levenshtein(a: Column, b: Column) -> Column:
     """1 - edits / length of the longer text."""
     longest = F.greatest(F.length(a), F.length(b))
-    return F.when(longest == 0, F.lit(1.0)).otherwise(1 - F.levenshtein(a, b) / longest)
+    both_empty = F.length(a) + F.length(b) == 0  # null when a side is null, unlike greatest
+    return F.when(both_empty, F.lit(1.0)).otherwise(1 - F.levenshtein(a, b) / longest)
 
 
 def hamming(a: Column, b: Column) -> Column:

@@ -34,7 +34,7 @@ def key_pairs(on: On) -> list[tuple[str, str]]:
         return list(on.items())
     if isinstance(on, tuple) and len(on) == 2 and all(isinstance(x, str) for x in on):
         return [(on[0], on[1])]
-    return [pair for item in on for pair in key_pairs(item)]
+    return [pair for item in on for pair in key_pairs(item if isinstance(item, (str, Mapping)) else tuple(item))]
 
 
 def check_keys(left: DataFrame, right: DataFrame, pairs: Sequence[tuple[str, str]]) -> None:

@@ -41,7 +41,7 @@ def order_list(order_by: OrderBy | None) -> list[tuple[str, bool]]:
         return [(order_by[0], _DIRECTIONS[order_by[1].lower()])]
     out = []
     for item in order_by:
-        out += order_list(item)
+        out += order_list(item if isinstance(item, str) else tuple(item))
     return out
 
 

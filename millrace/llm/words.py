@@ -95,13 +95,15 @@ class Words:
         """The document index of each word."""
         return np.repeat(np.arange(len(self.at) - 1), self.counts)
 
-    def hashes(self) -> np.ndarray:
-        """A 64-bit hash of each word's bytes."""
+    def hashes(self, beginning: int | None = None) -> np.ndarray:
+        """A 64-bit hash of each word's bytes, or of at most the first `beginning` of them."""
         n = len(self.data)
         sums = np.zeros(n + 1, np.uint64)
         np.cumsum(_BYTE_VALUES[self.data] * _power(_BASE, n), out=sums[1:])
-        h = (sums[self.ends] - sums[self.starts]) * _power(_INVERSE, n)[self.starts] if n else sums[:0]
-        return mix(h + (self.ends - self.starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+        ends = self.ends if beginning is None else np.minimum(self.ends, self.starts + beginning)
+        h = (sums[ends] - sums[self.starts]) * _power(_INVERSE, n)[self.starts] if n else sums[:0]
+        salt = 0 if beginning is None else beginning
+        return mix(h + ((ends - self.starts) * 131 + salt).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
 
 def window_hashes(hashes: np.ndarray, size: int) -> np.ndarray:

@@ -106,14 +106,23 @@ class Words:
         return mix(h + ((ends - self.starts) * 131 + salt).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
 
-def window_hashes(hashes: np.ndarray, size: int) -> np.ndarray:
-    """A 64-bit hash of each run of `size` words, by first word; document borders are the caller's matter."""
+def hash_sums(hashes: np.ndarray) -> np.ndarray:
+    """What `window_hashes` takes differences of."""
+    sums = np.zeros(len(hashes) + 1, np.uint64)
+    np.cumsum(hashes * _power(_BASE, len(hashes)), out=sums[1:])
+    return sums
+
+
+def window_hashes(hashes: np.ndarray, size: int, sums: np.ndarray | None = None, starts: np.ndarray | None = None) -> np.ndarray:
+    """A 64-bit hash of each run of `size` words, or of those that start at `starts`; document borders are the caller's matter."""
     n = len(hashes)
     if n < size:
         return np.zeros(0, np.uint64)
-    sums = np.zeros(n + 1, np.uint64)
-    np.cumsum(hashes * _power(_BASE, n), out=sums[1:])
-    return mix((sums[size:] - sums[:-size]) * _power(_INVERSE, n)[: n - size + 1] + np.uint64(size))
+    sums = hash_sums(hashes) if sums is None else sums
+    power = _power(_INVERSE, n)
+    if starts is None:
+        return mix((sums[size:] - sums[:-size]) * power[: n - size + 1] + np.uint64(size))
+    return mix((sums[starts + size] - sums[starts]) * power[starts] + np.uint64(size))
 
 
 def whole_windows(words: Words, size: int) -> np.ndarray:

@@ -228,3 +228,18 @@ def identify_language(docs: DataFrame, labelled: DataFrame | None = None) -> Dat
     kind = docs.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, held_out boolean, lang_pred string, score double, n_letters long, n_labelled long"
     return rows.mapInArrow(label, schema)
+
+
+def keep_identified(docs: DataFrame, least: float = 0.0, labelled: DataFrame | None = None) -> DataFrame:
+    """The documents with a language (not `und`) and a score of at least `least`, all columns as they were."""
+    data, wanted, languages = sample(docs if labelled is None else labelled)
+    net = train(data, wanted, languages) if languages else None
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for piece in slices(batch, most=1 << 20):
+                if net:
+                    names, score, _, _ = predict(piece, net)
+                    yield piece.filter(pa.array([n != UNKNOWN and s >= least for n, s in zip(names, score)], pa.bool_()))
+
+    return docs.mapInArrow(keep, docs.schema)

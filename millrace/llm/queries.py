@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, exact_dedup, language, licences, mixing, near_dedup, pii, secrets, toxicity
+from . import decontamination, exact_dedup, language, licences, mixing, near_dedup, pii, secrets, substring_dedup, toxicity
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -55,6 +55,24 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(table(spark, sf_dir, "documents"), temperature=0.5).drop("mix_rate")
 
 
+@query(
+    "op3_substring_dedup",
+    r"""WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+    s AS (SELECT doc_id, i, list_aggregate(w[i:i+12], 'string_agg', ' ') AS g
+          FROM d, unnest(range(1, len(w) - 11)) AS t(i) WHERE len(w) >= 13),
+    o AS (SELECT g, min(doc_id) AS o FROM s GROUP BY g),
+    r AS (SELECT doc_id, i FROM s JOIN o USING (g) WHERE o < doc_id),
+    c AS (SELECT DISTINCT doc_id, i + k AS i FROM r, range(13) AS t(k)),
+    k AS (SELECT d.doc_id, p.i, w[p.i] AS x FROM d, unnest(range(1, len(w) + 1)) AS p(i)
+          ANTI JOIN c ON c.doc_id = d.doc_id AND c.i = p.i),
+    g AS (SELECT doc_id, string_agg(x, ' ' ORDER BY i) AS t, count(*) AS n FROM k GROUP BY doc_id)
+    SELECT doc_id, len(w) AS n_words, len(w) - coalesce(n, 0) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+    FROM d LEFT JOIN g USING (doc_id)""",
+)
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.repeats_report(table(spark, sf_dir, "documents"))
+
+
 @query("op4_decontamination")
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.benchmark_hits(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))

@@ -113,16 +113,18 @@ def hash_sums(hashes: np.ndarray) -> np.ndarray:
     return sums
 
 
-def window_hashes(hashes: np.ndarray, size: int, sums: np.ndarray | None = None, starts: np.ndarray | None = None) -> np.ndarray:
+def window_hashes(
+    hashes: np.ndarray, size: int | np.ndarray, sums: np.ndarray | None = None, starts: np.ndarray | None = None
+) -> np.ndarray:
     """A 64-bit hash of each run of `size` words, or of those that start at `starts`; document borders are the caller's matter."""
     n = len(hashes)
+    if starts is not None:
+        power = _power(_INVERSE, n)
+        return mix((sums[starts + size] - sums[starts]) * power[starts] + np.asarray(size).astype(np.uint64))
     if n < size:
         return np.zeros(0, np.uint64)
     sums = hash_sums(hashes) if sums is None else sums
-    power = _power(_INVERSE, n)
-    if starts is None:
-        return mix((sums[size:] - sums[:-size]) * power[: n - size + 1] + np.uint64(size))
-    return mix((sums[starts + size] - sums[starts]) * power[starts] + np.uint64(size))
+    return mix((sums[size:] - sums[:-size]) * _power(_INVERSE, n)[: n - size + 1] + np.uint64(size))
 
 
 def whole_windows(words: Words, size: int) -> np.ndarray:

@@ -37,9 +37,13 @@ def normal_text(text: Column) -> Column:
     return F.regexp_replace(F.coalesce(text, F.lit("")), r"[\x20\x09-\x0D]+", " ")
 
 
+def digest(text: Column) -> Column:
+    return F.sha2(normal_text(text).cast("binary"), 256)
+
+
 def with_digests(docs: DataFrame) -> DataFrame:
     """(doc_id, text_sha256) of every document."""
-    return docs.select("doc_id", F.sha2(normal_text(F.col("text")).cast("binary"), 256).alias("text_sha256"))
+    return docs.select("doc_id", digest(F.col("text")).alias("text_sha256"))
 
 
 def classes(digests: DataFrame) -> DataFrame:
@@ -203,14 +207,17 @@ def exact_dedup(docs: DataFrame) -> DataFrame:
     )
 
 
-def keep_rows(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The documents whose doc_id is among `ids` (doc_id, repeats allowed), one row for each, columns unchanged."""
-    times = ids.groupBy(F.col("doc_id").alias("__id")).agg(F.count(F.lit(1)).alias("__times"))
-    found = docs.join(times, docs["doc_id"].eqNullSafe(times["__id"]), "inner").drop("__id")
-    once, more = found.filter("__times = 1"), found.filter("__times > 1").dropDuplicates(["doc_id"])
-    return once.unionByName(more).drop("__times")
+def keep_rows(docs: DataFrame, kept: DataFrame, key: Column) -> DataFrame:
+    """The documents with doc_id and `key` among `kept` (doc_id, key), one row for each, columns unchanged."""
+    times = kept.groupBy(F.col("doc_id").alias("__id"), F.col("key").alias("__of")).agg(F.count(F.lit(1)).alias("__times"))
+    docs = docs.withColumn("__key", key)
+    same = docs["doc_id"].eqNullSafe(times["__id"]) & (docs["__key"] == times["__of"])
+    found = docs.join(times, same, "inner").drop("__id", "__of")
+    once, more = found.filter("__times = 1"), found.filter("__times > 1").dropDuplicates(["doc_id", "__key"])
+    return once.unionByName(more).drop("__times", "__key")
 
 
 def drop_copies(docs: DataFrame) -> DataFrame:
     """The documents without exact copies, all columns as they were."""
-    return keep_rows(docs, stored(exact_dedup(docs).filter("kept").select("doc_id"), "kept"))
+    kept = exact_dedup(docs).filter("kept").select("doc_id", F.col("text_sha256").alias("key"))
+    return keep_rows(docs, stored(kept, "kept"), digest(F.col("text")))

@@ -13,7 +13,7 @@ Sets of all shards are joined by star contraction in Spark.
 
 Cases: a null text counts as empty; a text without words has the fingerprint zero and is linked like any other. Fewer words than a
 shingle: the whole sequence is the one shingle. Ties of bits (exactly half) are 0. A null doc_id never names a component unless all are null. Rows that repeat a
-doc_id get the same answer; `keep_first` keeps one. An empty table gives an empty result; further columns are left alone.
+document get the same answer; `keep_first` keeps one. Of a component without any doc_id each text stays once. An empty table gives an empty result; further columns are left alone.
 """
 
 from __future__ import annotations
@@ -24,7 +24,7 @@ from itertools import combinations, repeat
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.operators.graph import node_labels
@@ -80,17 +80,23 @@ def fingerprints(column: pa.Array, size: int = SHINGLE) -> np.ndarray:
     return out
 
 
+def text_key(text: Column) -> Column:
+    return F.xxhash64(F.coalesce(text, F.lit("")))
+
+
 def with_fingerprints(docs: DataFrame) -> DataFrame:
-    """(doc_id, fp) of every document; fp holds the 64 bits as a signed number."""
+    """(doc_id, key, fp) of every document; fp holds the 64 bits as a signed number, key a hash of the text."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for piece in slices(batch):
                 found = fingerprints(piece.column("text")).view(np.int64)
-                yield pa.RecordBatch.from_arrays([piece.column("doc_id"), pa.array(found)], ["doc_id", "fp"])
+                columns = [piece.column("doc_id"), piece.column("key"), pa.array(found)]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "key", "fp"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(read, f"doc_id {kind}, fp long")
+    rows = docs.select("doc_id", "text", text_key(F.col("text")).alias("key"))
+    return rows.mapInArrow(read, f"doc_id {kind}, key long, fp long")
 
 
 def key_layouts(distinct: int, radius: int = RADIUS) -> list[list[int]]:
@@ -249,7 +255,7 @@ def shard_links(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
 
 
 def near_dedup(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """doc_id, fingerprint, component_id, component_size of every document."""
+    """doc_id, fingerprint, component_id, component_size and the text's key of every document."""
     marked = stored(with_fingerprints(docs), "fingerprints")
     distinct = stored(marked.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n")), "distinct")
     labels = node_labels(stored(shard_links(distinct, radius), "links")).select(F.col("a").alias("fp"), F.col("b").alias("set"))
@@ -257,10 +263,10 @@ def near_dedup(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     sets = known.groupBy("set").agg(F.min("least").alias("component_id"), F.sum("n").alias("component_size"))
     found = stored(known.select("fp", "set").join(sets, "set").drop("set"), "components")
     text = F.lower(F.lpad(F.hex("fp"), 16, "0"))
-    return marked.join(found, "fp", "left").select("doc_id", text.alias("fingerprint"), "component_id", "component_size")
+    return marked.join(found, "fp", "left").select("doc_id", text.alias("fingerprint"), "component_id", "component_size", "key")
 
 
 def keep_first(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     """The documents that are the first (by doc_id) of their component, all columns as they were."""
-    found = near_dedup(docs, radius)
-    return keep_rows(docs, stored(found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id"), "first"))
+    first = near_dedup(docs, radius).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id", "key")
+    return keep_rows(docs, stored(first, "first"), text_key(F.col("text")))

@@ -153,8 +153,9 @@ class Classifier:
         return softmax(self.logits(features, first) / self.temperature)
 
     def confirmed(self, family: str, pairs: set[tuple[str, str]]) -> float:
-        """The largest share of word pairs in common with a template of the family."""
-        return max((len(t & pairs) / max(min(len(t), len(pairs)), 1) for t in self.templates.get(family, [])), default=0.0)
+        """The largest share of word pairs in common with a template of the family, of the shorter one, but not of a few words only."""
+        size = max(len(pairs), WINDOW // 2)
+        return max((len(t & pairs) / min(len(t), size) for t in self.templates.get(family, [])), default=0.0)
 
 
 def softmax(x: np.ndarray) -> np.ndarray:

@@ -73,7 +73,7 @@ def aggregate(df: DataFrame, agg: Agg, order_by: OrderBy | None) -> Column:
         return F.stddev_samp(c)
     if kind == "var":
         return F.var_samp(c)
-    text = c.cast("string")
+    text = c.cast("string")  # equal places in `order_by`, and all without it, follow the text
     key = order_key(df, order_by) if order_list(order_by) else F.lit(0)
     listed = F.sort_array(F.collect_list(F.when(c.isNotNull(), F.struct(key.alias("o"), text.alias("v")))))
     return F.array_join(F.transform(listed, lambda x: x["v"]), ",")
@@ -96,16 +96,17 @@ def group_by(
 ) -> DataFrame:
     """Group by keys (optionally renamed) and aggregate; null is a group of its own.
 
-    Without keys the result is one row; without aggregates it is the distinct keys. first, last
-    and concat follow `order_by`; without it they take any order. The default output name is
-    ``<column>_<aggregate>``.
+    Without keys the result is one row; without aggregates it is the distinct keys. first and last
+    follow `order_by`; without it they take any row. concat follows `order_by` and then the text; of
+    nothing it is an empty text. The default output name is ``<column>_<aggregate>``.
     """
     named, wanted = _keys(keys), [as_agg(a) for a in aggs]
     require(df, [*named, *[a.column for a in wanted], *[n for n, _ in order_list(order_by)]])
     if not wanted:
         return df.select(*[col(k).alias(v) for k, v in named.items()]).distinct()
     holistic = [a for a in wanted if a.kind in _HOLISTIC]
-    usual, hot = split_hot(df, list(named)) if holistic else (df, None)
+    texts = [F.coalesce(F.octet_length(col(a.column).cast("string")), F.lit(0)) + 16 for a in wanted if a.kind == "concat"]
+    usual, hot = split_hot(df, list(named), sum(texts[1:], texts[0]) if texts else None) if holistic else (df, None)
     parts = []
     if usual is not None:
         grouped = usual.groupBy(*[col(k).alias(v) for k, v in named.items()])
@@ -117,16 +118,19 @@ def group_by(
 
 
 def _hot_groups(df: DataFrame, named: dict[str, str], wanted: list[Agg], order_by: OrderBy | None) -> DataFrame:
-    """Aggregates of hot groups: few result rows, so the holistic ones are joined by broadcast."""
+    """Aggregates of hot groups; the holistic ones are joined, one row per group."""
     keys = list(named)
     plain = [a for a in wanted if a.kind not in _HOLISTIC]
+    rows = free_name([*df.columns, *[a.out for a in wanted]], "rows_in_group")
     out = df.groupBy(*[col(k) for k in keys]).agg(
-        *[aggregate(df, a, order_by).alias(a.out) for a in plain], F.count(F.lit(1)).alias("rows_in_group")
+        *[aggregate(df, a, order_by).alias(a.out) for a in plain], F.count(F.lit(1)).alias(rows)
     )
     for a in wanted:
         if a.kind in _HOLISTIC:
             one = median_of(df, keys, a.column, a.out) if a.kind == "median" else concat_of(df, keys, a, order_by)
-            out = lookup(out, one, keys, small=True) if keys else out.join(F.broadcast(one), F.lit(True), "left")
+            out = lookup(out, one, keys) if keys else out.join(F.broadcast(one), F.lit(True), "left")
+            if a.kind == "concat":
+                out = out.withColumn(a.out, F.coalesce(col(a.out), F.lit("")))
     return out.select(*[col(k).alias(v) for k, v in named.items()], *[col(a.out) for a in wanted])
 
 
@@ -151,12 +155,14 @@ def median_of(df: DataFrame, keys: Sequence[str], column: str, out: str) -> Data
 
 def concat_of(df: DataFrame, keys: Sequence[str], agg: Agg, order_by: OrderBy | None) -> DataFrame:
     """Joined texts per group: sorted pieces are joined first, then the pieces of a group."""
-    piece, row, part = (free_name([*df.columns, agg.out], w) for w in ("piece", "row", "part"))
+    piece, row, part, text = (free_name([*df.columns, agg.out], w) for w in ("piece", "row", "part", "text"))
     group = [col(k) for k in keys]
     used = list(dict.fromkeys([*keys, agg.column, *[n for n, _ in order_list(order_by)]]))
     known = df.select(*[col(c) for c in used]).filter(col(agg.column).isNotNull())
-    ranges = in_ranges(known, keys, order_by or agg.column, piece, row)
-    values = F.sort_array(F.collect_list(F.struct(col(row).alias("o"), col(agg.column).cast("string").alias("v"))))
+    known = known.withColumn(text, col(agg.column).cast("string"))
+    order = [(n, "desc" if down else "asc") for n, down in order_list(order_by)] + [(text, "asc")]
+    ranges = in_ranges(known, keys, order, piece, row)
+    values = F.sort_array(F.collect_list(F.struct(col(row).alias("o"), col(text).alias("v"))))
     joined = F.array_join(F.transform(values, lambda x: x["v"]), ",")
     pieces = ranges.groupBy(*group, col(piece)).agg(joined.alias(part))
     parts = F.sort_array(F.collect_list(F.struct(col(piece).alias("o"), col(part).alias("v"))))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..names import col, free_name, require
-from ..session import written
+from ..session import discard, written
 from ..types import supertype
 from .ordering import lookup
 
@@ -38,7 +38,8 @@ def node_labels(edges: DataFrame) -> DataFrame:
     """Smallest reachable node (`b`) of every node (`a`) that is not itself the smallest.
 
     `edges` has columns a and b of one type. Large-star and small-star rounds alternate until the
-    edge set no longer changes; every round is written to the shared folder, which keeps plans short.
+    edge set no longer changes; every round is written to the shared folder, which keeps plans short,
+    and the one before it is deleted. What the last round left belongs to the result.
     """
     current = written(edges.filter("a <> b").distinct(), "edges")
     before = None
@@ -47,7 +48,11 @@ def node_labels(edges: DataFrame) -> DataFrame:
         if now == before or now[0] == 0:
             return current
         before = now
-        current = written(_small_star(written(_large_star(current), "edges")), "edges")
+        large = written(_large_star(current), "edges")
+        after = written(_small_star(large), "edges")
+        discard(large)
+        discard(current)
+        current = after
     raise RuntimeError("Connected groups did not settle")
 
 

@@ -16,16 +16,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..names import as_list, col, free_name, require
-from ..session import estimated_bytes, written
+from ..session import written
 
 OrderBy = str | tuple[str, str] | Sequence[str | tuple[str, str]]
 
-# A group with more rows than this is hot. There are fewer than MAX_HOT_GROUPS such groups, because
-# the limit is raised to total / MAX_HOT_GROUPS on larger tables: that bounds what is broadcast.
+# A group with more rows, or for texts more bytes, than this is hot at any table size.
 HOT_ROWS = 5_000_000
-MAX_HOT_GROUPS = 1_000
-# Frames estimated below this size cannot hold a hot group, so they are not counted first.
-SMALL_BYTES = 64 * 1024 * 1024
+HOT_BYTES = 256 * 1024 * 1024
+# Up to so many hot keys are broadcast, more are joined by a shuffle.
+MAX_BROADCAST_KEYS = 1_000
 
 # Places of a monotonically increasing id that number the rows of one partition.
 _ROW_BITS = 33
@@ -62,7 +61,7 @@ def order_key(df: DataFrame, order_by: OrderBy) -> Column:
         if not descending:
             parts.append(c)
         elif isinstance(dtype, (T.DoubleType, T.FloatType)):
-            parts += [~F.isnan(c), -c]
+            parts += [c.isNotNull(), ~F.isnan(c), -c]
         elif isinstance(dtype, T.NumericType):
             parts.append(-c.cast("decimal(38,0)") if not isinstance(dtype, T.DecimalType) else -c)
         elif isinstance(dtype, T.BooleanType):
@@ -90,30 +89,27 @@ def _setting(df: DataFrame, name: str, default: int) -> int:
     return int(df.sparkSession.conf.get(f"millrace.{name}", str(default)))
 
 
-def is_large(df: DataFrame) -> bool:
-    """Whether the frame may hold more than one task can take."""
-    size = estimated_bytes(df)
-    return size is None or size >= _setting(df, "smallBytes", SMALL_BYTES)
-
-
-def split_hot(df: DataFrame, keys: Sequence[str]) -> tuple[DataFrame | None, DataFrame | None]:
+def split_hot(
+    df: DataFrame, keys: Sequence[str], size: Column | None = None
+) -> tuple[DataFrame | None, DataFrame | None]:
     """Rows of ordinary groups and rows of hot groups; None where there are none.
 
-    Without keys the whole table is one group: a small one is ordinary, a large one hot.
+    One count per key decides, with map-side combine, by rows and, where `size` is given, by the sum
+    of that number of bytes. Without keys the whole table is one group.
     """
-    if not is_large(df):
-        return df, None
+    limit, most = _setting(df, "hotRows", HOT_ROWS), _setting(df, "hotBytes", HOT_BYTES)
+    rows, held = (free_name(df.columns, n) for n in ("n_rows", "n_bytes"))
+    facts = [F.count(F.lit(1)).alias(rows), F.sum(F.lit(0) if size is None else size).alias(held)]
+    over = (col(rows) > limit) | (F.coalesce(col(held), F.lit(0)) > most)
     if not keys:
-        return None, df
-    limit = max(_setting(df, "hotRows", HOT_ROWS), df.count() // MAX_HOT_GROUPS)
-    counted = free_name(df.columns, "n_rows")
-    counts = df.groupBy(*[col(k) for k in keys]).agg(F.count(F.lit(1)).alias(counted))
-    hot = counts.filter(col(counted) > limit).drop(counted)
-    found = hot.collect()  # fewer than MAX_HOT_GROUPS rows, see `limit`
+        return (None, df) if df.agg(*facts).filter(over).count() else (df, None)
+    hot = df.groupBy(*[col(k) for k in keys]).agg(*facts).filter(over).select(*[col(k) for k in keys])
+    found = hot.limit(MAX_BROADCAST_KEYS + 1).collect()
     if not found:
         return df, None
-    hot = df.sparkSession.createDataFrame(found, hot.schema)
-    return lookup(df, hot, keys, "left_anti", small=True), lookup(df, hot, keys, "left_semi", small=True)
+    few = len(found) <= MAX_BROADCAST_KEYS
+    hot = df.sparkSession.createDataFrame(found, hot.schema) if few else written(hot, "hot-keys")
+    return lookup(df, hot, keys, "left_anti", small=few), lookup(df, hot, keys, "left_semi", small=few)
 
 
 def in_ranges(df: DataFrame, keys: Sequence[str], order_by: OrderBy, piece: str, row: str) -> DataFrame:

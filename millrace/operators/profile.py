@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 from ..names import as_list, col
 from ..types import group_of
 from .aggregate import median_of
-from .ordering import OrderBy, is_large, sort_columns
+from .ordering import OrderBy, sort_columns, split_hot
 from .sorting import every_nth
 
 EXPLORE_ROWS = 10_000
@@ -139,7 +139,7 @@ def column_stats(
     """
     fields = _fields(df, columns)
     rows = df if limit is None else (df.orderBy(*sort_columns(order_by)) if order_by else df).limit(limit)
-    big = limit is None and is_large(rows)
+    big = limit is None and split_hot(rows, [])[1] is not None
     one = rows.agg(F.count(F.lit(1)).alias("rows"), *_statistics(rows, fields, False, not big, True))
     if big:
         for i, f in enumerate(fields):

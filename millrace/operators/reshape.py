@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import warnings
 from collections.abc import Sequence
 from typing import Any
 
@@ -18,9 +17,6 @@ from .ordering import OrderBy
 
 PIVOT_AGGREGATES = ("count", "sum", "min", "max", "mean", "first", "last")
 
-# A pivot has at most this many value columns, as in the settings users know.
-MAX_PIVOT_VALUES = 200
-
 # The type selectors of unpivot and the type groups or types they mean.
 SELECTORS = {
     "float": ("Float32", "Float64"),
@@ -31,13 +27,13 @@ SELECTORS = {
 }
 
 
-def pivot_values(df: DataFrame, column: str, limit: int = MAX_PIVOT_VALUES) -> list[str]:
-    """Sorted distinct values of the pivot column as text, null as ``null``, at most `limit`."""
+def pivot_values(df: DataFrame, column: str, limit: int | None = None) -> list[str]:
+    """Sorted distinct values of the pivot column as text, null as ``null``; they become columns."""
     text = F.coalesce(col(column).cast("string"), F.lit("null")).alias("value")
-    found = df.select(text).distinct().orderBy("value").limit(limit + 1).collect()
-    if len(found) >= limit:
-        warnings.warn(f"Pivot column {column!r} has {limit} or more values; the first {limit} are used", stacklevel=3)
-    return [r["value"] for r in found[:limit]]
+    found = df.select(text).distinct()
+    if limit is not None and (n := found.count()) > limit:
+        raise ValueError(f"Pivot column {column!r} has {n} values, more than {limit}; list the ones to use in `values`")
+    return [r["value"] for r in found.orderBy("value").collect()]
 
 
 def pivot(
@@ -48,12 +44,13 @@ def pivot(
     aggregations: str | Sequence[str] = "sum",
     values: Sequence[Any] | None = None,
     order_by: OrderBy | None = None,
-    max_values: int = MAX_PIVOT_VALUES,
+    max_values: int | None = None,
 ) -> DataFrame:
     """One row per index, one column per pivot value; a missing cell is null.
 
     With several aggregations the columns are ``<value>_<aggregation>``. Without an index the
-    result is one row. Pass `values` to save the job that looks them up.
+    result is one row. All values become columns, unless there are more than `max_values`, which is an
+    error. Pass `values` to save the job that looks them up.
     """
     keys, kinds = as_list(index), as_list(aggregations)
     require(df, [*keys, column, value])

@@ -10,18 +10,17 @@ from ..session import scratch_path
 from ..sources import custom, memory, readers, writers
 from .base import query, rounded, table
 
-_ORDERS = "SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, CAST(o_orderdate AS DATE) AS o_orderdate, o_orderpriority FROM orders"
-
-
-def _orders(spark, d):
-    return table(spark, d, "orders").withColumn("o_orderdate", F.col("o_orderdate").cast("date"))
-
-
-@query("s1_read_csv", _ORDERS)
+@query(
+    "s1_read_csv",
+    "SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, CAST(o_orderdate AS TIMESTAMP) AS o_orderdate, o_orderpriority "
+    "FROM orders",
+)
 def s1(spark, d):
     path = scratch_path(spark, "csv")
-    _orders(spark, d).write.option("header", "true").option("sep", ";").csv(path)
-    return readers.read_csv(spark, path, delimiter=";")
+    columns = ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority"]
+    table(spark, d, "orders").select(*columns).write.option("header", "true").option("sep", ";").csv(path)
+    found = readers.read_csv(spark, path, delimiter=";")
+    return found.withColumn("o_orderdate", F.col("o_orderdate").cast("timestamp_ntz"))
 
 
 @query(
@@ -35,11 +34,13 @@ def s2(spark, d):
     return kept.select("l_orderkey", "l_linenumber", "l_quantity")
 
 
-@query("s3_read_json", "SELECT event_id, user_id, event_type, value, props FROM events")
+@query("s3_read_json", "SELECT event_id, user_id, event_type, value, props, CAST(ts AS TIMESTAMP) AS ts FROM events")
 def s3(spark, d):
     path = scratch_path(spark, "json")
-    table(spark, d, "events").drop("ts").write.json(path)
-    return readers.read_json(spark, path).select("event_id", "user_id", "event_type", "value", "props")
+    events = table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+    events.write.option("timestampNTZFormat", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").json(path)
+    found = readers.read_json(spark, path).select("event_id", "user_id", "event_type", "value", "props", "ts")
+    return found.withColumn("ts", F.col("ts").cast("timestamp_ntz"))
 
 
 @query("s4_read_dir", "SELECT o_orderkey, o_custkey, o_totalprice FROM orders")
@@ -126,15 +127,23 @@ def s13(spark, d):
     return memory.synthetic_people(spark, table(spark, d, "customer").count(), seed=7)
 
 
-@query("k1_write_csv", "SELECT p_partkey, p_name, p_brand, p_size, p_retailprice FROM part")
+@query("k1_write_csv", "SELECT p_partkey, p_name, p_brand, p_type, p_size, p_retailprice FROM part")
 def k1(spark, d):
     path = scratch_path(spark, "csv")
-    columns = ["p_partkey", "p_name", "p_brand", "p_size", "p_retailprice"]
+    columns = ["p_partkey", "p_name", "p_brand", "p_type", "p_size", "p_retailprice"]
     writers.write_csv(table(spark, d, "part").select(*columns), path, delimiter="|")
-    schema = "p_partkey long, p_name string, p_brand string, p_size int, p_retailprice double"
+    schema = "p_partkey long, p_name string, p_brand string, p_type string, p_size int, p_retailprice double"
     return readers.read_csv(spark, path, delimiter="|", schema=schema)
 
 
+@query("k1_csv_line_breaks", "SELECT doc_id, text, lang, source, n_chars FROM documents")
+def k1_line_breaks(spark, d):
+    path = scratch_path(spark, "csv")
+    writers.write_csv(table(spark, d, "documents"), path)
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    return readers.read_csv(spark, path, schema=schema, multi_line=True)
+
+
 @query("k2_write_parquet", "SELECT l_returnflag, round(sum(l_tax), 4) AS tax FROM lineitem GROUP BY l_returnflag")
 def k2(spark, d):
     path = scratch_path(spark, "parquet")
@@ -142,11 +151,11 @@ def k2(spark, d):
     return rounded(spark.read.parquet(path).groupBy("l_returnflag").agg(F.sum("l_tax").alias("tax")))
 
 
-@query("k3_write_json", "SELECT doc_id, text, lang, n_chars FROM documents")
+@query("k3_write_json", "SELECT doc_id, text, lang, source, n_chars FROM documents")
 def k3(spark, d):
     path = scratch_path(spark, "json")
-    writers.write_json(table(spark, d, "documents").drop("source"), path)
-    return readers.read_json(spark, path, "doc_id long, text string, lang string, n_chars long")
+    writers.write_json(table(spark, d, "documents"), path)
+    return readers.read_json(spark, path, "doc_id long, text string, lang string, source string, n_chars long")
 
 
 @query("k1_append_mode", "SELECT n_name, CAST(2 AS BIGINT) AS copies FROM nation")

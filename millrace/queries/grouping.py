@@ -85,6 +85,36 @@ def a15(spark, d):
     return group_by(table(spark, d, "orders"), "o_custkey", [("o_orderstatus", "concat")], "o_orderkey")
 
 
+@query(
+    "a15_concat_no_order",
+    "SELECT l_orderkey, string_agg(CAST(l_partkey AS VARCHAR), ',' ORDER BY CAST(l_partkey AS VARCHAR)) AS parts "
+    "FROM lineitem GROUP BY l_orderkey",
+)
+def a15_no_order(spark, d):
+    return group_by(table(spark, d, "lineitem"), "l_orderkey", [("l_partkey", "concat", "parts")])
+
+
+@query(
+    "a15_concat_nulls",
+    "SELECT kind, coalesce(string_agg(CAST(bucket AS VARCHAR), ',' ORDER BY user_id, CAST(bucket AS VARCHAR)) "
+    f"FILTER (WHERE kind <> 'error'), '') AS buckets FROM {_NULLS} GROUP BY kind",
+)
+def a15_nulls(spark, d):
+    events = _with_nulls(spark, d)
+    events = events.withColumn("bucket", F.when(F.col("kind") != "error", F.col("bucket")))
+    return group_by(events, "kind", [("bucket", "concat", "buckets")], "user_id")
+
+
+@query(
+    "a9_first_descending",
+    f"SELECT kind, arg_max_null(event_id, (amount IS NULL, coalesce(amount, 0), event_id)) AS first_event FROM {_NULLS} GROUP BY kind",
+)
+def a9_descending(spark, d):
+    """Nulls come first in both directions, then the greatest amount."""
+    order = [("amount", "desc"), ("event_id", "desc")]
+    return group_by(_with_nulls(spark, d), "kind", [("event_id", "first", "first_event")], order)
+
+
 @query("a16_record_count", "SELECT CAST(count(*) AS BIGINT) AS number_of_records FROM lineitem")
 def a16(spark, d):
     return record_count(table(spark, d, "lineitem"))
@@ -166,7 +196,19 @@ def a20(spark, d):
     + " FROM lineitem GROUP BY l_returnflag",
 )
 def a21(spark, d):
-    return pivot(table(spark, d, "lineitem"), "l_returnflag", "l_linenumber", "l_quantity", "sum", values=range(1, 8))
+    return pivot(table(spark, d, "lineitem"), "l_returnflag", "l_linenumber", "l_quantity", "sum")
+
+
+@query(
+    "a17_pivot_many_values",
+    "SELECT o_orderstatus, "
+    + ", ".join(f"CAST(nullif(count(*) FILTER (WHERE o_orderkey % 250 = {v}), 0) AS BIGINT) AS \"{v}\"" for v in range(250))
+    + " FROM orders GROUP BY o_orderstatus",
+)
+def a17_many(spark, d):
+    """More values than the 200 that such tools often stop at."""
+    orders = table(spark, d, "orders").withColumn("part", F.col("o_orderkey") % 250)
+    return pivot(orders, "o_orderstatus", "part", "o_totalprice", "count")
 
 
 @query(

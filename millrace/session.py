@@ -1,7 +1,8 @@
-"""Session facts the operators need: the shared scratch folder and plan size estimates."""
+"""The shared scratch folder and what is stored there."""
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -9,6 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 SCRATCH_SUBDIR = "millrace"
 
+_local_dirs: dict[str, str] = {}
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder named in ``spark.checkpoint.dir``, which every executor can reach.
@@ -19,11 +22,9 @@ def shared_dir(spark: SparkSession) -> str:
     known = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if known:
         return known
-    if not spark.sparkContext.master.startswith("local"):
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
         raise RuntimeError("Set spark.checkpoint.dir to a folder that all executors share")
-    made = tempfile.mkdtemp(prefix="millrace-")
-    spark.conf.set("spark.checkpoint.dir", made)
-    return made
+    return _local_dirs.setdefault(spark.sparkContext.applicationId, tempfile.mkdtemp(prefix="millrace-"))
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
@@ -38,12 +39,16 @@ def written(df: DataFrame, label: str) -> DataFrame:
     """
     path = scratch_path(df.sparkSession, label)
     df.write.mode("error").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def estimated_bytes(df: DataFrame) -> int | None:
-    """Catalyst's size estimate of the optimised plan, or None where it cannot be read."""
-    try:
-        return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    except Exception:  # e.g. a Connect session, which has no JVM handle
-        return None
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._scratch = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Delete what `written` stored for this frame; nothing may read it any more."""
+    path = getattr(df, "_scratch", None)
+    jvm = getattr(df.sparkSession, "_jvm", None)  # a Connect session has none; its folder is cleaned from outside
+    if path is None or jvm is None:
+        return
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(target, True)

@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-import re
-from collections.abc import Mapping
+from collections.abc import Iterator, Mapping
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -19,23 +18,6 @@ IF_EXISTS = {
     "fail": "error",
 }
 
-# Statements that must not appear in a reading query.
-FORBIDDEN = (
-    r"\bDROP\s",
-    r"\bCREATE\s",
-    r"\bALTER\s",
-    r"\bTRUNCATE\s",
-    r"\bRENAME\s",
-    r"\bINSERT\s+INTO\b",
-    r"\bUPDATE\s+\w+\s+SET\b",
-    r"\bDELETE\s+FROM\b",
-    r"\bEXEC(UTE)?\s*\(",
-    r"\bCALL\s",
-    r"\bGRANT\s",
-    r"\bREVOKE\s",
-)
-
-
 class UnsafeQuery(ValueError):
     """The query is not a plain SELECT."""
 
@@ -51,20 +33,70 @@ class Split:
 
 
 def checked_query(query: str) -> str:
-    """The query without its trailing semicolon; only SELECT and WITH ... SELECT pass."""
-    bare = re.sub(r"/\*.*?\*/", " ", query or "", flags=re.DOTALL)
-    bare = " ".join(re.sub(r"--[^\r\n]*", " ", bare).split()).upper()
-    if not bare:
+    """The query without its trailing semicolon; only one SELECT or WITH ... SELECT passes.
+
+    The text is read once from left to right. Literals, quoted names and comments are stepped over, so
+    words in them mean nothing; what counts is the first word and, after WITH, the first word outside
+    brackets that starts the statement proper.
+    """
+    words, ended = [], False
+    for kind, word, depth in _lexemes(query or ""):
+        if ended:
+            raise UnsafeQuery("Only one statement can be read")
+        if kind == "end":
+            ended = True
+        elif kind == "word" and depth == 0:
+            words.append(word.upper())
+    if not words:
         raise UnsafeQuery("The query is empty")
-    if not (bare.startswith("SELECT ") or (bare.startswith("WITH ") and re.search(r"\bSELECT\b", bare))):
-        raise UnsafeQuery("Only SELECT and WITH ... SELECT can be read")
-    for pattern in FORBIDDEN:
-        found = re.search(pattern, bare)
-        if found:
-            raise UnsafeQuery(f"{found.group(0).split()[0]} is not allowed in a reading query")
+    verb = words[0] if words[0] != "WITH" else next((w for w in words[1:] if w in _VERBS), "WITH")
+    if verb != "SELECT":
+        raise UnsafeQuery(f"Only SELECT and WITH ... SELECT can be read, not {verb}")
+    if "INTO" in words:
+        raise UnsafeQuery("SELECT ... INTO writes a table")
     return query.strip().rstrip(";").strip()
 
 
+#: Words that can begin the statement after WITH.
+_VERBS = frozenset({"SELECT", "INSERT", "UPDATE", "DELETE", "MERGE", "VALUES", "TABLE"})
+
+_CLOSING = {"'": "'", '"': '"', "`": "`", "[": "]"}
+
+
+def _lexemes(text: str) -> Iterator[tuple[str, str, int]]:
+    """(kind, text, bracket depth) of words and statement ends."""
+    at, depth = 0, 0
+    while at < len(text):
+        char, two = text[at], text[at : at + 2]
+        if two == "--":
+            line = text.find("\n", at)
+            at = len(text) if line < 0 else line + 1
+        elif two == "/*":
+            close = text.find("*/", at + 2)
+            if close < 0:
+                raise UnsafeQuery("A comment does not end")
+            at = close + 2
+        elif char in _CLOSING:  # a doubled quote inside simply opens the next literal
+            close = text.find(_CLOSING[char], at + 1)
+            if close < 0:
+                raise UnsafeQuery("A literal or quoted name does not end")
+            at = close + 1
+        elif char.isalpha() or char == "_":
+            start = at
+            while at < len(text) and (text[at].isalnum() or text[at] in "_$#"):
+                at += 1
+            yield "word", text[start:at], depth
+        else:
+            depth += (char == "(") - (char == ")")
+            if depth < 0:
+                raise UnsafeQuery("A bracket closes that was not opened")
+            if char == ";":
+                yield "end", char, depth
+            elif not char.isspace():
+                yield "mark", char, depth
+            at += 1
+
+
 def read_options(
     url: str,
     table: str | None = None,

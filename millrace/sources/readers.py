@@ -6,10 +6,21 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import RDD
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+# Usual names of encodings and the ones that Spark takes.
+ENCODINGS = {
+    "utf8": "UTF-8",
+    "utf-8": "UTF-8",
+    "latin1": "ISO-8859-1",
+    "latin-1": "ISO-8859-1",
+    "iso8859-1": "ISO-8859-1",
+    "ascii": "US-ASCII",
+}
+
 # File suffixes per format for directory scans.
 SUFFIXES = {"csv": "*.csv", "parquet": "*.parquet", "json": "*.json", "orc": "*.orc", "text": "*.txt"}
 
@@ -28,28 +39,32 @@ def read_csv(
     encoding: str = "utf-8",
     quote: str = '"',
     schema: T.StructType | str | None = None,
-    infer_rows: int | None = 10_000,
+    infer_rows: int | None = None,
     ignore_errors: bool = False,
     trim_names: bool = False,
+    multi_line: bool = False,
 ) -> DataFrame:
     """Read delimited text.
 
-    Without a schema the types come from about `infer_rows` lines (None: all lines; 0: all text), and
-    dates are recognised. `skip` drops that many lines at the start of every file before the header.
-    A bad value stops the read, or becomes null with `ignore_errors`.
+    Without a schema the types come from all lines, or, if `infer_rows` is given, from that many lines
+    at the start of the first file (0: all text); dates are recognised. `skip` drops that many lines at the start of
+    every file before the header. A bad value stops the read, or becomes null with `ignore_errors`.
+    Quoted line breaks need ``multi_line=True``, which reads each file in one task; without it files are split.
     """
     mode = "PERMISSIVE" if ignore_errors else "FAILFAST"
+    encoding = ENCODINGS.get(encoding.lower(), encoding)
     options = {"sep": delimiter, "encoding": encoding, "quote": quote, "escape": quote, "mode": mode}
+    if multi_line:
+        if skip:
+            raise ValueError("skip reads one record per line; it cannot be combined with multi_line")
+        options["multiLine"] = "true"
     if skip:
         df = _read_skipping(spark, path, skip, header, options, schema, infer_rows)
     else:
         options["header"] = str(header).lower()
         known = _schema(schema)
         if known is None:
-            lines = None
-            if infer_rows:
-                lines = spark.read.text(path).limit(infer_rows + 1)
-            known = _inferred(spark, path, options, infer_rows, lines)
+            known = _inferred(spark, path, options, infer_rows)
         df = spark.read.options(**options).schema(known).csv(path)
     return trimmed_names(df) if trim_names else df
 
@@ -58,16 +73,23 @@ def _schema(schema: T.StructType | str | None) -> T.StructType | None:
     return T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
 
 
-def _inferred(spark: SparkSession, path: str, options: dict, rows: int | None, lines: DataFrame | None) -> T.StructType:
-    """Schema from the first lines of the input, at most `rows` of them."""
+def _first_lines(lines: DataFrame, rows: int) -> RDD:
+    """At most `rows` lines on the driver: `take` reads one split and goes on only if that has too few."""
+    return lines.sparkSession.sparkContext.parallelize([r[0] for r in lines.take(rows)], 1)
+
+
+def _inferred(spark: SparkSession, path: str, options: dict, rows: int | None) -> T.StructType:
+    """Schema from the whole input, or from the first `rows` lines."""
     reader = spark.read.options(**options).option("preferDate", "true")
     if rows == 0:
         return reader.option("inferSchema", "false").csv(path).schema
     reader = reader.option("inferSchema", "true")
     if rows is None:
         return reader.csv(path).schema
-    sample = lines.select(F.col("value")).rdd.map(lambda r: r[0])
-    return reader.csv(sample).schema
+    if options.get("multiLine"):
+        raise ValueError("With multi_line types come from all lines (infer_rows=None) or from none (0)")
+    lines = lines_after(spark, path, 0, options["encoding"])
+    return reader.csv(_first_lines(lines, rows + 1)).schema
 
 
 def _read_skipping(
@@ -82,9 +104,9 @@ def _read_skipping(
             names = spark.read.options(**options).csv(spark.sparkContext.parallelize([first["value"]])).first()
     known = _schema(schema)
     if known is None:
-        sample = body if infer_rows is None else body.limit(max(infer_rows, 1))
         reader = spark.read.options(**options).option("inferSchema", str(infer_rows != 0).lower())
-        known = reader.csv(sample.rdd.map(lambda r: r[0])).schema
+        sample = body.rdd.map(lambda r: r[0]) if infer_rows is None else _first_lines(body, max(infer_rows, 1))
+        known = reader.csv(sample).schema
         if names is not None:
             known = T.StructType([T.StructField(n, f.dataType, True) for n, f in zip(names, known.fields)])
     return body.select(F.from_csv("value", _ddl(known), options).alias("r")).select("r.*")
@@ -98,9 +120,11 @@ def lines_after(
     Only the split that starts a file holds its first lines, so each split drops its own and large
     files stay split. `first_block` keeps the starting splits only.
     """
-    lines = spark.read.option("encoding", encoding).text(path)
-    placed = lines.select(
-        "value", F.xxhash64("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block")
+    # The text reader hands on bytes as they are. Encodings of one byte per character, like UTF-8, keep
+    # line feeds in place, so the lines are right and only their text is decoded here.
+    value = F.col("value") if encoding.upper() == "UTF-8" else F.decode(F.col("value").cast("binary"), encoding)
+    placed = spark.read.text(path).select(
+        value.alias("value"), F.xxhash64("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block")
     )
     if first_block:
         placed = placed.filter("block = 0")

@@ -53,4 +53,7 @@ def materialise(df: DataFrame, path: str | None = None, refresh: bool = False) -
     if path is None:
         return df.persist(StorageLevel.MEMORY_AND_DISK)
     df.write.mode("overwrite" if refresh else "ignore").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    kept = df.sparkSession.read.parquet(path)
+    if [(f.name, f.dataType.simpleString()) for f in kept.schema] != [(f.name, f.dataType.simpleString()) for f in df.schema]:
+        raise ValueError(f"{path} holds another result ({kept.schema.simpleString()}); give another path or refresh it")
+    return kept

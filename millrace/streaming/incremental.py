@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -45,6 +46,11 @@ def run_incremental(
     return len(done)
 
 
-def incremental_result(spark: SparkSession, output: str) -> DataFrame:
-    """Everything the runs have written so far."""
-    return spark.read.parquet(output).drop(BATCH_COLUMN)
+def incremental_result(spark: SparkSession, output: str, schema: T.StructType | str | None = None) -> DataFrame:
+    """Everything the runs have written so far; before the first output an empty frame of `schema`, if that is given."""
+    try:
+        return spark.read.parquet(output).drop(BATCH_COLUMN)
+    except AnalysisException as missing:
+        if schema is None or missing.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            raise
+        return spark.createDataFrame([], schema)

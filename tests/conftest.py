@@ -26,9 +26,7 @@ def spark(tmp_path_factory):
 
 @pytest.fixture
 def hot(spark):
-    """Treat every frame as large and groups above 20 rows as hot."""
-    spark.conf.set("millrace.smallBytes", "0")
+    """Treat groups above 20 rows as hot."""
     spark.conf.set("millrace.hotRows", "20")
     yield spark
-    spark.conf.unset("millrace.smallBytes")
     spark.conf.unset("millrace.hotRows")

@@ -96,8 +96,10 @@ def test_pivot_null_bucket_and_text_cells(spark):
     assert out.columns == ["i", "a", "null"]
     assert sorted(rows(out)) == [(1, "q", "p"), (2, "r", None)]
     assert rows(pivot(df, None, "p", "v", ["count", "min"])) == [(2, "q", 1, "p")]
-    with pytest.warns(UserWarning):
-        assert pivot(df, "i", "p", "v", "max", max_values=1).columns == ["i", "a"]
+    with pytest.raises(ValueError, match="2 values"):
+        pivot(df, "i", "p", "v", "max", max_values=1)
+    many = spark.range(300).selectExpr("1 AS i", "id AS p", "id AS v")
+    assert len(pivot(many, "i", "p", "v", "max").columns) == 301
 
 
 def test_join_names_keys_and_nulls(spark):
@@ -213,6 +215,24 @@ def test_csv_skip_quotes_and_bad_rows(spark, tmp_path):
         readers.read_csv(spark, str(bad), schema="n int, d date").collect()
 
 
+def test_csv_encoding_line_breaks_and_late_types(spark, tmp_path):
+    (tmp_path / "latin").mkdir()
+    (tmp_path / "latin" / "a.csv").write_bytes("größe,n\nmüßig,1\n".encode("latin1"))
+    for rows_to_infer in (None, 10):
+        df = readers.read_csv(spark, str(tmp_path / "latin"), encoding="latin1", infer_rows=rows_to_infer)
+        assert df.columns == ["größe", "n"] and rows(df) == [("müßig", 1)]
+    skipped = readers.read_csv(spark, str(tmp_path / "latin"), encoding="latin1", skip=1, header=False)
+    assert rows(skipped) == [("müßig", 1)]
+    df = spark.createDataFrame([(1, 'a\n"b", c'), (2, None)], "i long, t string")
+    writers.write_csv(df, str(tmp_path / "broken"))
+    back = readers.read_csv(spark, str(tmp_path / "broken"), schema="i long, t string", multi_line=True)
+    assert sorted(rows(back)) == [(1, 'a\n"b", c'), (2, None)]
+    (tmp_path / "late.csv").write_text("v\n" + "1\n" * 12_000 + "text\n")
+    late = readers.read_csv(spark, str(tmp_path / "late.csv"))
+    assert dict(late.dtypes) == {"v": "string"} and late.filter("v = 'text'").count() == 1
+
+
+
 def test_write_modes(people, tmp_path):
     writers.write_csv(people.limit(1), str(tmp_path / "c"))
     text = "".join(p.read_text() for p in (tmp_path / "c").glob("*.csv"))
@@ -223,7 +243,17 @@ def test_write_modes(people, tmp_path):
 
 def test_jdbc_queries_are_checked():
     assert jdbc.checked_query("SELECT 1 -- drop table\n;") == "SELECT 1 -- drop table"
-    for bad in ("", "DROP TABLE x", "WITH a AS (SELECT 1) DELETE FROM a", "SELECT 1; INSERT INTO t VALUES (1)"):
+    for good in (
+        "SELECT * FROM t WHERE note = 'CALL now; DROP TABLE x'",
+        "/* DELETE FROM t */ select \"drop table\" from t",
+        "WITH a AS (SELECT 1 AS update_set), b AS (SELECT 2) SELECT * FROM a",
+        "SELECT 'it''s' FROM t",
+    ):
+        assert jdbc.checked_query(good) == good
+    for bad in (
+        "", "  -- nothing", "DROP TABLE x", "WITH a AS (SELECT 1) DELETE FROM a", "SELECT 1; INSERT INTO t VALUES (1)",
+        "SELECT * INTO copy FROM t", "SELECT 'open", "SELECT 1 /* open", "SELECT 1) FROM t", "CALL f()",
+    ):
         with pytest.raises(jdbc.UnsafeQuery):
             jdbc.checked_query(bad)
     options = jdbc.read_options("u", query="SELECT a FROM t;", split=jdbc.Split("a", 0, 9, 3))

@@ -208,11 +208,14 @@ def exact_dedup(docs: DataFrame) -> DataFrame:
 
 
 def keep_rows(docs: DataFrame, kept: DataFrame, key: Column) -> DataFrame:
-    """The documents with doc_id and `key` among `kept` (doc_id, key), one row for each, columns unchanged."""
+    """The documents with doc_id and `key` among `kept` (doc_id, key), one row for each, columns unchanged.
+
+    Both sides grow with the corpus, so they are merged at every size; a broadcast would only fit small ones.
+    """
     times = kept.groupBy(F.col("doc_id").alias("__id"), F.col("key").alias("__of")).agg(F.count(F.lit(1)).alias("__times"))
     docs = docs.withColumn("__key", key)
     same = docs["doc_id"].eqNullSafe(times["__id"]) & (docs["__key"] == times["__of"])
-    found = docs.join(times, same, "inner").drop("__id", "__of")
+    found = docs.hint("merge").join(times, same, "inner").drop("__id", "__of")
     once, more = found.filter("__times = 1"), found.filter("__times > 1").dropDuplicates(["doc_id", "__key"])
     return once.unionByName(more).drop("__times", "__key")
 

@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .stages import sampled
 from .words import slices, text_bytes
 
 #: Bytes per strip when predicting and when training, hidden units per direction.
@@ -160,10 +161,9 @@ def train(strips: np.ndarray, wanted: np.ndarray, languages: list[str], steps: i
 def sample(docs: DataFrame, strips: int = SAMPLE) -> tuple[np.ndarray, np.ndarray, list[str]]:
     """Strips of training documents, language numbers, languages."""
     usable = docs.filter(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    order = F.xxhash64(F.col("doc_id"), F.lit(1))
     place = F.pmod(F.xxhash64(F.col("doc_id"), F.lit(2)), F.greatest(F.length("text") - STRIP_TRAIN, F.lit(1)))
     cut = F.substring("text", place.cast("int") + 1, F.lit(STRIP_TRAIN))
-    rows = usable.select(order.alias("o"), "lang", cut.alias("cut")).orderBy("o", "lang", "cut").limit(strips).collect()
+    rows = sampled(usable.select("doc_id", "lang", cut.alias("cut")), strips, F.col("doc_id"), F.lit(1)).collect()
     rows = [(r.lang, r.cut.encode()[:STRIP_TRAIN]) for r in rows if r.cut]
     languages = sorted({lang for lang, _ in rows} - {UNKNOWN})
     rows = [(lang, cut) for lang, cut in rows if lang != UNKNOWN]

@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .decontamination import Tokens
+from .stages import sampled
 from .words import slices, window_hashes
 
 BUCKETS, WINDOW, SAMPLE = 1 << 16, 30, 3000
@@ -239,11 +240,9 @@ def corpus_windows(docs: DataFrame, most: int = SAMPLE) -> list[list[str]]:
                 columns = [pa.array([order[d] for d, _ in rows], pa.int64()), pa.array([" ".join(found.texts(k)) for _, k in rows], pa.string())]
                 yield pa.RecordBatch.from_arrays(columns, ["o", "text"])
 
-    chosen = docs.select(F.xxhash64("doc_id", F.lit(3)).alias("o"), "text").filter(F.col("text").isNotNull())
-    # a hash below this share of its range: some twice as many documents as are wanted
-    share = min(1.0, 2.0 * most / max(docs.count(), 1))
-    chosen = chosen.filter(F.pmod("o", F.lit(1_000_000)) < int(share * 1_000_000) + 1)
-    rows = chosen.mapInArrow(pick, "o long, text string").orderBy("o", "text").limit(most).collect()
+    chosen = sampled(docs.select("doc_id").filter(F.col("text").isNotNull()), most, F.col("doc_id"), F.lit(3)).select("doc_id", "o")
+    rows = docs.select("doc_id", "text").join(F.broadcast(chosen.distinct()), "doc_id").select("o", "text")
+    rows = rows.mapInArrow(pick, "o long, text string").orderBy("o", "text").limit(most).collect()
     return [r.text.split() for r in rows]
 
 

@@ -25,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .stages import sampled
 from .words import Words, slices
 
 BUCKETS, FACTORS = 1 << 18, 4
@@ -124,8 +125,8 @@ def _with_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def sample(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Terms, first places and labels of the training sample."""
     marks = labels.filter(~held_out(F.col("doc_id")) & F.col("toxic").isin(0, 1)).select("doc_id", F.col("toxic").cast("int").alias("toxic"))
-    marks = marks.withColumn("o", F.xxhash64("doc_id"))
-    chosen = marks.filter("toxic = 1").orderBy("o").limit(SAMPLE).unionByName(marks.filter("toxic = 0").orderBy("o").limit(SAMPLE))
+    yes, no = (sampled(marks.filter(f"toxic = {k}"), SAMPLE, F.col("doc_id")) for k in (1, 0))
+    chosen = yes.unionByName(no)
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("toxic", "o", "text")
     table = rows.mapInArrow(_with_terms, "toxic int, o long, terms array<int>").toArrow().combine_chunks()
     table = table.sort_by([("o", "ascending"), ("toxic", "ascending")])

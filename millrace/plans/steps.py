@@ -15,7 +15,8 @@ from pyspark.sql import DataFrame, SparkSession
 from ..functions.formula import formula
 from ..operators import aggregate, columns, contract, filters, fuzzy, graph, joins, numbering, profile
 from ..operators import reshape, rows, sets, sorting, windows
-from ..sources import jdbc, memory, readers, writers
+from ..sources import custom, jdbc, memory, readers, writers
+from ..streaming import incremental
 
 
 def apply(function: Callable[..., DataFrame], *frames: DataFrame, **settings: Any) -> DataFrame:
@@ -38,13 +39,33 @@ def sql_over(*inputs: DataFrame, query: str, names: Sequence[str]) -> DataFrame:
     return sql(inputs[0].sparkSession, query, **dict(zip(names, inputs)))
 
 
+def run_and_read(spark: SparkSession, **settings: Any) -> DataFrame:
+    """The `run_incremental` step: take in what is new, then give all that the runs have written."""
+    incremental.run_incremental(spark, **settings)
+    return incremental.incremental_result(spark, settings["output"])
+
+
 @dataclass(frozen=True)
 class Operator:
-    """A step type: a function, how many frames it takes (None: any number), and default settings."""
+    """A step type: a function, how many frames it takes (None: any number), default settings, and their types."""
 
     function: Callable[..., DataFrame]
     inputs: int | None = 1
     defaults: Mapping[str, Any] = field(default_factory=dict)
+    types: Mapping[str, type | tuple[type, ...]] = field(default_factory=dict)
+
+    def checked(self, step_id: str, settings: Mapping[str, Any]) -> dict[str, Any]:
+        """The settings over the defaults; unknown names and wrong types raise."""
+        unknown = [k for k in settings if k not in self.defaults] if self.defaults else []
+        if unknown:
+            raise ValueError(f"Step {step_id!r}: unknown settings {', '.join(unknown)}")
+        for name, kind in self.types.items():
+            value = settings.get(name)
+            wanted = kind if isinstance(kind, tuple) else (kind,)
+            if value is not None and (not isinstance(value, wanted) or isinstance(value, bool) and bool not in wanted):
+                names = " or ".join(k.__name__ for k in wanted)
+                raise TypeError(f"Step {step_id!r}: {name} must be {names}, not {type(value).__name__}")
+        return {**self.defaults, **settings}
 
 
 OPERATORS: dict[str, Operator] = {
@@ -53,9 +74,20 @@ OPERATORS: dict[str, Operator] = {
     "read_json": Operator(readers.read_json, 0),
     "read_dir": Operator(readers.read_dir, 0),
     "read_jdbc": Operator(jdbc.read_jdbc, 0),
+    "read_custom": Operator(custom.read_custom, 0),
     "manual_input": Operator(memory.from_rows, 0),
+    "from_columns": Operator(memory.from_columns, 0),
+    "from_typed": Operator(memory.from_typed, 0),
+    "empty": Operator(memory.empty, 0),
+    "sequence": Operator(memory.sequence, 0),
+    "synthetic_people": Operator(memory.synthetic_people, 0),
     "select": Operator(columns.select_list),
+    "rename": Operator(columns.rename),
+    "drop": Operator(columns.drop),
+    "reorder": Operator(columns.reorder),
     "cast": Operator(columns.cast),
+    "to_dates": Operator(columns.to_dates),
+    "to_timestamps": Operator(columns.to_timestamps),
     "select_types": Operator(lambda df, types: columns.select_types(df, *types)),
     "formula": Operator(formula),
     "enforce": Operator(contract.enforce),
@@ -63,6 +95,7 @@ OPERATORS: dict[str, Operator] = {
     "filter_expr": Operator(filters.filter_expr),
     "join": Operator(joins.join, 2),
     "cross_join": Operator(joins.cross_join, 2),
+    "join_row_count": Operator(joins.join_row_count, 2),
     "fuzzy_match": Operator(fuzzy.fuzzy_join, 2),
     "group_by": Operator(aggregate.group_by),
     "record_count": Operator(aggregate.record_count),
@@ -76,10 +109,18 @@ OPERATORS: dict[str, Operator] = {
     "shuffled_sample": Operator(sorting.shuffled_sample),
     "union": Operator(sets.union, None),
     "unique": Operator(sets.unique),
+    "differences": Operator(sets.differences, 2),
     "text_to_rows": Operator(rows.text_to_rows),
     "graph_solver": Operator(graph.connected_groups),
     "explore_data": Operator(profile.explore_sample),
     "profile": Operator(profile.profile),
+    "profile_summary": Operator(profile.profile_summary),
+    "column_stats": Operator(profile.column_stats),
+    "column_flags": Operator(profile.column_flags),
+    "field_roles": Operator(profile.field_roles),
+    "map_batches": Operator(sorting.map_batches),
+    "apply": Operator(lambda *frames, function, **settings: apply(function, *frames, **settings), None),
+    "run_incremental": Operator(run_and_read, 0),
     "sql": Operator(sql_over, None),
     "materialise": Operator(writers.materialise),
 }
@@ -94,12 +135,23 @@ SINKS: dict[str, Callable[..., None]] = {
 
 
 def register(
-    name: str, function: Callable[..., DataFrame], inputs: int | None = 1, defaults: Mapping[str, Any] | None = None
+    name: str,
+    function: Callable[..., DataFrame],
+    inputs: int | None = 1,
+    defaults: Mapping[str, Any] | None = None,
+    types: Mapping[str, type | tuple[type, ...]] | None = None,
 ) -> None:
-    """Make a user function available as a step type; settings are checked against the defaults."""
+    """Make a user function available as a step type.
+
+    Settings are checked against the defaults by name and, where `types` names one or several Python
+    types, by type; a null setting fits every type.
+    """
     if name in OPERATORS:
         raise ValueError(f"Step type {name!r} exists already")
-    OPERATORS[name] = Operator(function, inputs, dict(defaults or {}))
+    strange = [k for k in types or {} if k not in (defaults or {})]
+    if strange:
+        raise ValueError(f"Types without a default: {', '.join(strange)}")
+    OPERATORS[name] = Operator(function, inputs, dict(defaults or {}), dict(types or {}))
 
 
 @dataclass(frozen=True)
@@ -161,11 +213,7 @@ class Steps:
             raise ValueError(f"Step {step_id!r} writes and has no result; use run")
         operator = OPERATORS[step.type]
         inputs = [self._build(spark, str(i), built, (*above, step_id)) for i in step.inputs]
-        if operator.defaults:
-            unknown = [k for k in step.settings if k not in operator.defaults]
-            if unknown:
-                raise ValueError(f"Step {step_id!r}: unknown settings {', '.join(unknown)}")
-        settings = {**operator.defaults, **step.settings}
+        settings = operator.checked(step_id, step.settings)
         leading = inputs if operator.inputs != 0 else [spark]
         built[step_id] = operator.function(*leading, **settings)
         return built[step_id]

@@ -273,3 +273,27 @@ def test_steps_check_their_inputs(spark, people, tmp_path):
         loop.frame(spark, 1)
     done = Steps([{"id": "w", "type": "write_parquet", "inputs": ["p"], "settings": {"path": str(tmp_path / "o")}}])
     assert done.run(spark, p=people) == ["w"] and spark.read.parquet(str(tmp_path / "o")).count() == 4
+
+
+def test_steps_name_every_operator_and_check_types(spark):
+    from millrace.plans.steps import OPERATORS, register
+
+    steps = Steps([
+        {"id": "n", "type": "sequence", "settings": {"n": 4, "name": "a"}},
+        {"id": "r", "type": "rename", "settings": {"names": {"a": "b"}}, "inputs": ["n"]},
+        {"id": "c", "type": "join_row_count", "settings": {"on": {"a": "b"}}, "inputs": ["n", "r"]},
+        {"id": "s", "type": "profile_summary", "inputs": ["r"]},
+        {"id": "x", "type": "apply", "settings": {"function": lambda a, b, k: a.union(b).limit(k), "k": 3}, "inputs": ["n", "r"]},
+    ])
+    assert steps.frame(spark, "c").first()[0] == 4
+    assert steps.frame(spark, "s").first()["rows"] == 4
+    assert steps.frame(spark, "x").count() == 3
+    register("first_rows", lambda df, k: df.limit(k), 1, {"k": 2}, {"k": int})
+    try:
+        good = Steps([{"id": "f", "type": "first_rows", "settings": {"k": 1}, "inputs": ["given"]}])
+        assert good.frame(spark, "f", given=spark.range(5)).count() == 1
+        bad = Steps([{"id": "f", "type": "first_rows", "settings": {"k": "1"}, "inputs": ["given"]}])
+        with pytest.raises(TypeError, match="k must be int"):
+            bad.frame(spark, "f", given=spark.range(5))
+    finally:
+        del OPERATORS["first_rows"]

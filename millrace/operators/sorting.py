@@ -6,12 +6,15 @@ import math
 from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..names import as_list, col, free_name, require
-from .ordering import OrderBy, order_list, row_numbers, sort_columns
+from .ordering import OrderBy, lookup, order_list, row_numbers, sort_columns
+
+# Chosen places up to which a sample is joined by broadcast.
+SMALL_SAMPLE = 100_000
 
 
 def sort(df: DataFrame, by: OrderBy | None) -> DataFrame:
@@ -26,14 +29,24 @@ def head(df: DataFrame, n: int = 100, order_by: OrderBy | None = None) -> DataFr
 
 
 def every_nth(df: DataFrame, n: int, order_by: OrderBy) -> DataFrame:
-    """About n rows spread evenly: every ceil(rows / n)-th in order, starting with the first."""
+    """About n rows spread evenly: every ceil(rows / n)-th in order, starting with the first.
+
+    Only the order columns are numbered (and stored); the chosen places, at most n, are joined back to the rows.
+    Of rows with equal order columns as many are taken as places were chosen among them.
+    """
     total = df.count()
     if total <= n:
         return df
-    number = free_name(df.columns, "row_at")
+    names = list(dict.fromkeys(name for name, _ in order_list(order_by)))
+    require(df, names)
+    number, take, place = (free_name(df.columns, w) for w in ("row_at", "take", "place"))
     step = math.ceil(total / n)
-    spread = row_numbers(df, [], order_by, number, start=0).filter(col(number) % step == 0)
-    return spread.drop(number)
+    keys = [col(c) for c in names]
+    numbered = row_numbers(df.select(*keys), [], order_by, number, start=0).filter(col(number) % step == 0)
+    chosen = numbered.groupBy(*keys).agg(F.count(F.lit(1)).alias(take))
+    found = lookup(df, chosen, names, "inner", small=n <= SMALL_SAMPLE)
+    among = Window.partitionBy(*keys).orderBy(F.lit(0))
+    return found.withColumn(place, F.row_number().over(among)).filter(col(place) <= col(take)).drop(place, take)
 
 
 def shuffled_sample(df: DataFrame, n: int, key: str | Sequence[str], seed: int = 0) -> DataFrame:

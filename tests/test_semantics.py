@@ -16,7 +16,7 @@ from millrace.operators.graph import connected_groups
 from millrace.operators.reshape import pivot, unpivot
 from millrace.operators.rows import text_to_rows
 from millrace.operators.sets import compare, union, unique
-from millrace.operators.sorting import shuffled_sample, sort
+from millrace.operators.sorting import every_nth, shuffled_sample, sort
 from millrace.operators.windows import window
 from millrace.plans.steps import Steps
 from millrace.sources import jdbc, memory, readers, writers
@@ -297,3 +297,12 @@ def test_steps_name_every_operator_and_check_types(spark):
             bad.frame(spark, "f", given=spark.range(5))
     finally:
         del OPERATORS["first_rows"]
+
+
+def test_every_nth_with_ties_and_nulls(spark):
+    df = spark.range(100).selectExpr("id", "CASE WHEN id >= 40 THEN id div 30 END AS k")
+    found = every_nth(df, 10, "k")
+    assert found.count() == 10 and found.columns == df.columns and found.distinct().count() == 10
+    per_key = {r.k: r["count"] for r in found.groupBy("k").count().collect()}
+    assert per_key == {None: 4, 1: 2, 2: 3, 3: 1}
+    assert [r.id for r in every_nth(df, 10, ("id", "desc")).orderBy("id").collect()] == list(range(9, 100, 10))

@@ -20,6 +20,10 @@ SAMPLES = 3
 _TEMPORAL = (T.DateType, T.TimestampType, T.TimestampNTZType)
 
 
+# Rows at the start of a table that give the example values of all columns.
+SAMPLE_ROWS = 10_000
+
+
 def _is_number(dtype: T.DataType) -> bool:
     return isinstance(dtype, T.NumericType)
 
@@ -63,18 +67,26 @@ def _fields(df: DataFrame, columns: str | Sequence[str] | None) -> list[T.Struct
 
 
 def _samples(df: DataFrame, fields: Sequence[T.StructField], order_by: OrderBy | None, n: int) -> DataFrame:
-    """First n non-null values per column as text. Each column is its own limited scan."""
-    parts = None
-    for f in fields:
-        order = sort_columns(order_by)
-        known = df.filter(col(f.name).isNotNull())
-        top = (known.orderBy(*order) if order else known).select(
-            F.lit(f.name).alias("sample_of"), col(f.name).cast("string").alias("v")
-        )
-        top = top.limit(n).withColumn("at", F.monotonically_increasing_id())
-        parts = top if parts is None else parts.unionAll(top)
-    listed = F.sort_array(F.collect_list(F.struct("at", "v")))
-    return parts.groupBy("sample_of").agg(F.array_join(F.transform(listed, lambda x: x["v"]), ", ").alias("samples"))
+    """First n non-null values per column as text.
+
+    The first `SAMPLE_ROWS` rows serve all columns in one job; only a column with fewer than n values there is
+    looked for in the whole table.
+    """
+    order, spark = sort_columns(order_by), df.sparkSession
+    ordered = df.orderBy(*order) if order else df
+    texts = [col(f.name).cast("string").alias(f"v{i}") for i, f in enumerate(fields)]
+    top = ordered.select(*texts).limit(SAMPLE_ROWS).withColumn("at", F.monotonically_increasing_id())
+    values = [F.when(F.col(f"v{i}").isNotNull(), F.struct("at", F.col(f"v{i}").alias("v"))) for i in range(len(fields))]
+    listed = [F.slice(F.sort_array(F.collect_list(v)), 1, n) for v in values]
+    firsts = [F.transform(x, lambda y: y["v"]).alias(f"v{i}") for i, x in enumerate(listed)]
+    found = {f.name: values for f, values in zip(fields, top.agg(*firsts).first())}
+    sparse = [f for f in fields if len(found[f.name]) < n]
+    if sparse and df.limit(SAMPLE_ROWS + 1).count() > SAMPLE_ROWS:
+        for f in sparse:
+            known = ordered.filter(col(f.name).isNotNull()).select(col(f.name).cast("string"))
+            found[f.name] = [r[0] for r in known.head(n)]
+    rows = [(name, ", ".join(values)) for name, values in found.items() if values]
+    return spark.createDataFrame(rows, "sample_of string, samples string")
 
 
 def profile(

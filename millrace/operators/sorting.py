@@ -50,10 +50,28 @@ def every_nth(df: DataFrame, n: int, order_by: OrderBy) -> DataFrame:
 
 
 def shuffled_sample(df: DataFrame, n: int, key: str | Sequence[str], seed: int = 0) -> DataFrame:
-    """Exactly n rows (or all) picked by a seeded hash of the key, the same ones on every run."""
+    """Exactly n rows (or all) picked by a seeded hash of the key, the same ones on every run if keys are unique.
+
+    The n smallest hashes are found by counting ranges of hashes, twice 65,536 of them: rows in ranges below the
+    border are simply filtered, and only the few in the border range are sorted.
+    """
     keys = as_list(key)
     pick = F.xxhash64(F.lit(seed), *[col(k) for k in keys])
-    return df.orderBy(pick, *[col(k).asc_nulls_first() for k in keys]).limit(n)
+    taken, left, inside = F.lit(False), n, F.lit(True)
+    for bits in (48, 32):
+        part = F.shiftrightunsigned(pick, bits).bitwiseAND(F.lit(0xFFFF))
+        counts = df.filter(inside).groupBy(part.alias("part")).count().collect()  # at most 65,536 rows
+        border = None
+        for row in sorted(counts, key=lambda r: r["part"]):
+            if row["count"] > left:
+                border = row["part"]
+                break
+            left -= row["count"]
+        if border is None:  # no more than n rows
+            return df
+        taken, inside = taken | (inside & (part < border)), inside & (part == border)
+    last = df.filter(inside).orderBy(pick, *[col(k).asc_nulls_first() for k in keys]).limit(left)
+    return df.filter(taken).unionByName(last) if left else df.filter(taken)
 
 
 def map_batches(

@@ -40,6 +40,21 @@ def l4(spark, d):
     return shuffled_sample(table(spark, d, "customer"), 500, "c_custkey", seed=11)
 
 
+@query(
+    "l4_sample_invariants",
+    "SELECT least(500, count(*)) AS n_rows, least(500, count(*)) AS n_customers, least(500, count(*)) AS n_again FROM customer",
+)
+def l4_invariants(spark, d):
+    """Size of the sample, how many of its rows are different customers, and how many a second run over other partitions picks."""
+    customers = table(spark, d, "customer")
+    one = shuffled_sample(customers, 500, "c_custkey", seed=11)
+    again = shuffled_sample(customers.repartition(7), 500, "c_custkey", seed=11).select("c_custkey")
+    whole = customers.join(one.select("c_custkey"), "c_custkey", "left_semi")
+    counts = [one.agg(F.count("*").alias("n_rows")), whole.agg(F.countDistinct("c_custkey").alias("n_customers"))]
+    counts.append(one.join(again, "c_custkey", "left_semi").agg(F.count("*").alias("n_again")))
+    return counts[0].join(F.broadcast(counts[1])).join(F.broadcast(counts[2]))  # one row each
+
+
 def _doubled(rows):
     return rows.assign(value=rows["value"] * 2)
 

@@ -25,7 +25,9 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     jvm = getattr(spark, "_jvm", None)  # a Connect session has none
     if jvm is not None:
         jvm.System.gc()
-    return spark.read.schema(schema).parquet(path)
+    out = spark.read.schema(schema).parquet(path)
+    out._scratch = path  # for millrace.session.discard
+    return out
 
 
 def partitions(spark: SparkSession) -> int:

@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import compress, repeat
 
 import ahocorasick
 import numpy as np
@@ -28,6 +29,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from millrace.session import discard
+
 from .near_dedup import joined_words
 from .stages import partitions, stored
 from .words import Words, hash_sums, mix, sliding_min, slices, whole_windows, window_hashes
@@ -116,25 +119,28 @@ def passages(owned: DataFrame, window: int) -> DataFrame:
     return owned.mapInArrow(read, "segment long, single boolean, first long, phrase binary, runs array<long>")
 
 
-def recurring(docs: DataFrame, window: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Uses (segment, doc_id), passages (segment, phrase) and owners (segment, owners): one owner for all runs of a passage, or one for each."""
+def recurring(docs: DataFrame, window: int) -> tuple[DataFrame, DataFrame]:
+    """Uses (segment, doc_id) of shared anchors; passages (segment, phrase, owners): one owner for all runs of a passage, or one for each."""
     shared = stored(segments(docs, window).groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("anchor"), "anchors")
     uses = stored(segments(docs, window).join(shared, "anchor", "left_semi"), "uses")
+    discard(shared)
     distinct = stored(uses.groupBy("anchor", "segment").agg(F.min("doc_id").alias("first")), "segments")
     variants = distinct.groupBy("anchor").agg((F.count(F.lit(1)) == 1).alias("single"))
     facts = distinct.join(variants, "anchor")
     own = facts.groupBy("first").agg(F.collect_list(F.struct("segment", "single")).alias("own")).withColumnRenamed("first", "doc_id")
     found = stored(passages(docs.join(own, "doc_id").select("doc_id", "text", "own"), window), "passages")
+    discard(distinct)
     runs = found.filter("not single").select("segment", "first", F.posexplode("runs").alias("place", "run"))
     owners = runs.groupBy("run").agg(F.min("first").alias("owner"))
     owned = runs.select("segment", "place", "run").join(owners, "run").groupBy("segment")
     owned = owned.agg(F.transform(F.array_sort(F.collect_set(F.struct("place", "owner"))), lambda x: x["owner"]).alias("owners"))
     single = found.filter("single").select("segment", F.array("first").alias("owners"))
-    return uses.select("segment", "doc_id"), found, stored(single.unionByName(owned), "owners")
+    both = stored(single.unionByName(owned), "owners")
+    return uses.select("segment", "doc_id"), found.select("segment", "phrase"), both
 
 
-def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """doc_id, n_words, n_removed, rest (the kept words joined by one space) of every document."""
+def remove_repeats(docs: DataFrame, window: int = WINDOW, digest: bool = False) -> DataFrame:
+    """doc_id, n_words, n_removed, rest (the kept words joined by one space) of every document; digest: the rest's sha256 instead."""
     spark = docs.sparkSession
     docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     kind = docs.schema["doc_id"].dataType
@@ -144,59 +150,56 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     bucket = lambda c: F.pmod(F.xxhash64(F.col(c).cast("long")), F.lit(buckets))
     least = owners.select("segment", F.array_min("owners").alias("least"))
     asked = uses.join(least, "segment").filter("least < doc_id").select("segment", bucket("doc_id").alias("bucket")).distinct()
-    texts = found.select("segment", "phrase").join(owners, "segment")
-    sent = asked.join(texts, "segment").select("bucket", "phrase", "owners")
-    dealt = docs.select(bucket("doc_id").alias("bucket"), F.col("doc_id").cast("long").alias("doc_id"), "text")
+    sent = stored(asked.join(found, "segment").join(owners, "segment").select("bucket", "phrase", "owners"), "phrases")
+    dealt = docs.select(bucket("doc_id").alias("bucket"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
 
     def stream(documents: pa.Table, phrases: pa.Table) -> pa.Table:
-        return _stream(documents, phrases, window)
+        return _stream(documents, phrases, window, digest)
 
     schema = "doc_id long, n_words long, n_removed long, rest binary"
     out = dealt.groupBy("bucket").cogroup(sent.groupBy("bucket")).applyInArrow(stream, schema)
     return out.select(F.col("doc_id").cast(kind), "n_words", "n_removed", F.col("rest").cast("string").alias("rest"))
 
 
-def _stream(documents: pa.Table, phrases: pa.Table, window: int) -> pa.Table:
+def _stream(documents: pa.Table, phrases: pa.Table, window: int, digest: bool) -> pa.Table:
     """All documents of a bucket through the automata of its passages."""
     numbers: dict[bytes, int] = {}
-    patterns = [x.split(b" ") for x in phrases["phrase"].to_pylist()]
-    for words in patterns:
-        for word in words:
-            numbers.setdefault(word, len(numbers) + 1)
+    codes = [tuple([numbers.setdefault(w, len(numbers) + 1) for w in x.split(b" ")]) for x in phrases["phrase"].to_pylist()]
     owners = phrases["owners"].to_pylist()
-    texts = [x.encode().split() for x in documents["text"].to_pylist()]  # bytes are split at the six ASCII blanks only
+    texts = [x.split() for x in documents["text"].to_pylist()]  # bytes are split at the six ASCII blanks only
     ids = documents["doc_id"].to_pylist()
-    coded = [tuple([numbers.get(w, 0) for w in words]) for words in texts]
-    gone = [np.zeros(len(words), bool) for words in texts]
-    for low in range(0, len(patterns), PHRASES):
+    coded = [tuple(map(numbers.get, words, repeat(0))) for words in texts] if codes else [()] * len(texts)
+    kept: list[bytearray | None] = [None] * len(texts)
+    nothing = bytes(max(map(len, codes), default=0))
+    for low in range(0, len(codes), PHRASES):
         automaton = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
-        for k in range(low, min(low + PHRASES, len(patterns))):
-            automaton.add_word(tuple([numbers[w] for w in patterns[k]]), (len(patterns[k]), owners[k]))
+        for code, own in zip(codes[low : low + PHRASES], owners[low : low + PHRASES]):
+            automaton.add_word(code, (len(code), own))
         automaton.make_automaton()
-        for doc_id, code, mark in zip(ids, coded, gone):
+        for row, (doc_id, code) in enumerate(zip(ids, coded)):
             if doc_id is None or len(code) < window:
                 continue
+            mark = kept[row]
             for last, (length, own) in automaton.iter(code):
                 first = last + 1 - length
-                if len(own) == 1:
-                    if own[0] < doc_id:
-                        mark[first : last + 1] = True
-                else:
-                    for k, owner in enumerate(own):
-                        if owner < doc_id:
-                            mark[first + k : first + k + window] = True
-    rest = [b" ".join([w for w, m in zip(words, mark) if not m]) if mark.any() else b" ".join(words) for words, mark in zip(texts, gone)]
+                spans = ((first, length),) if len(own) == 1 else [(first + k, window) for k, o in enumerate(own) if o < doc_id]
+                if len(own) == 1 and own[0] >= doc_id:
+                    continue
+                if mark is None:
+                    mark = kept[row] = bytearray(b"\1") * len(code)
+                for start, size in spans:
+                    mark[start : start + size] = nothing[:size]
+    rest = [b" ".join(words if mark is None else compress(words, mark)) for words, mark in zip(texts, kept)]
     return pa.table(
         {
             "doc_id": documents["doc_id"],
             "n_words": pa.array([len(x) for x in texts], pa.int64()),
-            "n_removed": pa.array([int(m.sum()) for m in gone], pa.int64()),
-            "rest": pa.array(rest, pa.binary()),
+            "n_removed": pa.array([0 if mark is None else mark.count(0) for mark in kept], pa.int64()),
+            "rest": pa.array([hashlib.sha256(x).hexdigest().encode() for x in rest] if digest else rest, pa.binary()),
         }
     )
 
 
 def repeats_report(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 of every document."""
-    found = remove_repeats(docs, window)
-    return found.select("doc_id", "n_words", "n_removed", F.sha2(F.col("rest").cast("binary"), 256).alias("kept_sha256"))
+    return remove_repeats(docs, window, digest=True).withColumnRenamed("rest", "kept_sha256")

@@ -119,8 +119,8 @@ def passages(owned: DataFrame, window: int) -> DataFrame:
     return owned.mapInArrow(read, "segment long, single boolean, first long, phrase binary, runs array<long>")
 
 
-def recurring(docs: DataFrame, window: int) -> tuple[DataFrame, DataFrame]:
-    """Uses (segment, doc_id) of shared anchors; passages (segment, phrase, owners): one owner for all runs of a passage, or one for each."""
+def recurring(docs: DataFrame, window: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Uses (segment, doc_id), passages (segment, phrase) and owners (segment, owners): one owner for all runs of a passage, or one for each."""
     shared = stored(segments(docs, window).groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("anchor"), "anchors")
     uses = stored(segments(docs, window).join(shared, "anchor", "left_semi"), "uses")
     discard(shared)
@@ -131,12 +131,14 @@ def recurring(docs: DataFrame, window: int) -> tuple[DataFrame, DataFrame]:
     found = stored(passages(docs.join(own, "doc_id").select("doc_id", "text", "own"), window), "passages")
     discard(distinct)
     runs = found.filter("not single").select("segment", "first", F.posexplode("runs").alias("place", "run"))
-    owners = runs.groupBy("run").agg(F.min("first").alias("owner"))
+    # stored, so that the join below deals both sides itself and Spark can split a run that very many segments hold
+    owners = stored(runs.groupBy("run").agg(F.min("first").alias("owner")), "runs")
     owned = runs.select("segment", "place", "run").join(owners, "run").groupBy("segment")
     owned = owned.agg(F.transform(F.array_sort(F.collect_set(F.struct("place", "owner"))), lambda x: x["owner"]).alias("owners"))
     single = found.filter("single").select("segment", F.array("first").alias("owners"))
     both = stored(single.unionByName(owned), "owners")
-    return uses.select("segment", "doc_id"), found.select("segment", "phrase"), both
+    discard(owners)
+    return uses, found, both
 
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW, digest: bool = False) -> DataFrame:
@@ -150,7 +152,10 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, digest: bool = False)
     bucket = lambda c: F.pmod(F.xxhash64(F.col(c).cast("long")), F.lit(buckets))
     least = owners.select("segment", F.array_min("owners").alias("least"))
     asked = uses.join(least, "segment").filter("least < doc_id").select("segment", bucket("doc_id").alias("bucket")).distinct()
-    sent = stored(asked.join(found, "segment").join(owners, "segment").select("bucket", "phrase", "owners"), "phrases")
+    texts = found.select("segment", "phrase")
+    sent = stored(asked.join(texts, "segment").join(owners, "segment").select("bucket", "phrase", "owners"), "phrases")
+    for step in (uses, found, owners):
+        discard(step)
     dealt = docs.select(bucket("doc_id").alias("bucket"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
 
     def stream(documents: pa.Table, phrases: pa.Table) -> pa.Table:

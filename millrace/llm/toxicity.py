@@ -7,7 +7,8 @@ A document is the set of its distinct words (ASCII letters lowered, marks at the
 so a pair of terms, such as an insult and the mention of a group, can weigh more than its parts together. The pair sum
 costs one pass over the terms: half of (sum v)^2 - sum v^2.
 
-Terms are learned from a bounded sample of labelled documents drawn by a hash of doc_id, at most `SAMPLE` per class; a term must be in
+Terms are learned from a bounded sample of labelled documents drawn by a hash of doc_id, at most `SAMPLE` per class, and weighted to the
+classes' shares of all training rows, so scores do not follow the size of the table; a term must be in
 `LEAST` of them, else it is dropped, so that single documents are not learned by heart. Only hashed terms of the sample pass the
 driver. Scoring is one map over all whole texts; a document's terms are gathered for a slice of documents at a time.
 
@@ -77,16 +78,17 @@ class FactorizationMachine:
         return 1 / (1 + np.exp(-np.clip(self.raw(term, first)[0], -40, 40)))
 
 
-def train(term: np.ndarray, first: np.ndarray, label: np.ndarray, seed: int = 11) -> FactorizationMachine:
-    """Adagrad on the log loss over batches; terms in fewer than LEAST documents keep weight 0."""
+def train(term: np.ndarray, first: np.ndarray, label: np.ndarray, weight: np.ndarray | None = None, seed: int = 11) -> FactorizationMachine:
+    """Adagrad on the log loss over batches, each document with its weight; terms in fewer than LEAST documents keep weight 0."""
     n, rng = len(label), np.random.default_rng(seed)
-    share = float(np.clip(label.mean(), 1e-3, 1 - 1e-3)) if n else 0.5
+    weight = np.ones(n) if weight is None else weight
+    share = float(np.clip(np.average(label, weights=weight), 1e-3, 1 - 1e-3)) if n else 0.5
     machine = FactorizationMachine(np.log(share / (1 - share)), np.zeros(BUCKETS, np.float32), np.zeros((FACTORS, BUCKETS), np.float32))
     if n == 0 or label.min() == label.max():
         return machine
     doc = np.repeat(np.arange(n), np.diff(first))
-    times, toxic = np.bincount(term, minlength=BUCKETS), np.bincount(term, label[doc], BUCKETS)
-    used = (times >= LEAST) & (np.abs(toxic - times * share) >= DEVIATION * np.sqrt(times * share * (1 - share)))
+    times, excess = np.bincount(term, minlength=BUCKETS), weight * (label - share)
+    used = (times >= LEAST) & (np.abs(np.bincount(term, excess[doc], BUCKETS)) >= DEVIATION * np.sqrt(times * np.mean(excess**2)))
     before = np.concatenate([[0], np.cumsum(used[term])])
     term, first = term[used[term]], before[first]
     machine.v[:, used] = rng.normal(0, 0.01, (FACTORS, int(used.sum()))).astype(np.float32)
@@ -99,7 +101,7 @@ def train(term: np.ndarray, first: np.ndarray, label: np.ndarray, seed: int = 11
             at = np.concatenate([[0], np.cumsum(sizes)])
             part = term[np.arange(at[-1]) + np.repeat(first[docs] - at[:-1], sizes)]
             raw, sums, doc = machine.raw(part, at)
-            slope = (1 / (1 + np.exp(-np.clip(raw, -40, 40))) - label[docs]) / len(docs)
+            slope = weight[docs] * (1 / (1 + np.exp(-np.clip(raw, -40, 40))) - label[docs]) / len(docs)
             each = slope[doc].astype(np.float32)
             uniq, back = np.unique(part, return_inverse=True)
             g = np.bincount(back, each, len(uniq)) + DECAY * machine.w[uniq]
@@ -122,9 +124,18 @@ def _with_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([piece.column("toxic"), piece.column("o"), lists], ["toxic", "o", "terms"])
 
 
-def sample(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Terms, first places and labels of the training sample."""
+def class_weights(label: np.ndarray, rows: dict[int, int]) -> np.ndarray:
+    """Weights (1 on average) that give each class of the sample its share of all training rows; `rows`: their number by class."""
+    drawn = np.array([max(int((label == k).sum()), 1) for k in (0, 1)])
+    each = np.array([max(rows.get(k, 0), 1) for k in (0, 1)]) / drawn
+    weight = each[label.astype(int)]
+    return weight / weight.mean() if len(weight) else weight
+
+
+def sample(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Terms, first places, labels and weights of the training sample."""
     marks = labels.filter(~held_out(F.col("doc_id")) & F.col("toxic").isin(0, 1)).select("doc_id", F.col("toxic").cast("int").alias("toxic"))
+    counts = {r["toxic"]: r["count"] for r in marks.groupBy("toxic").count().collect()}
     yes, no = (sampled(marks.filter(f"toxic = {k}"), SAMPLE, F.col("doc_id")) for k in (1, 0))
     chosen = yes.unionByName(no)
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("toxic", "o", "text")
@@ -133,7 +144,8 @@ def sample(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, np.ndarray,
     lists = table["terms"].combine_chunks()
     sizes = lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64) if len(lists) else np.zeros(0, np.int64)
     term = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64) if len(lists) else np.zeros(0, np.int64)
-    return term, np.concatenate([[0], np.cumsum(sizes)]), table["toxic"].to_numpy().astype(np.float32)
+    label = table["toxic"].to_numpy().astype(np.float32)
+    return term, np.concatenate([[0], np.cumsum(sizes)]), label, class_weights(label, counts)
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.llm import decontamination, exact_dedup, language, mixing, similar
+from millrace.llm import decontamination, exact_dedup, language, mixing, near_dedup
 from millrace.session import scratch_path
 
 
@@ -19,8 +19,8 @@ def remove_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def remove_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents linked by a similarity of 0.8 or more (five-word shingles) the one with the smallest doc_id stays."""
-    return similar.keep_first_similar(docs)
+    """Of documents linked by SimHash (four-word shingles, 4 or fewer differing bits) the one with the smallest doc_id stays."""
+    return near_dedup.keep_first(docs)
 
 
 def remove_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -208,7 +208,7 @@ def filter_bytes(keys: np.ndarray, counts: np.ndarray, bits: int) -> bytes:
     first = np.ascontiguousarray(keys[:, :1]) & np.uint64((1 << rest) - 1)
     large = counts >= 255
     head = np.array([n, lanes, quotient, kind.itemsize, large.sum()], "<i8")
-    remainders = np.concatenate([first.view(np.uint8).reshape(n, 8)[:, :width], np.ascontiguousarray(keys[:, 1:]).view(np.uint8).reshape(n, -1)], axis=1)
+    remainders = np.concatenate([first.view(np.uint8).reshape(n, 8)[:, :width], np.ascontiguousarray(keys[:, 1:]).view(np.uint8).reshape(n, 8 * (lanes - 1))], axis=1)
     parts = (head, runs.astype(kind), remainders, np.where(large, 255, counts).astype(np.uint8), counts[large].astype("<i8"))
     return b"".join(p.tobytes() for p in parts)
 

@@ -38,9 +38,9 @@ def partitions(spark: SparkSession) -> int:
 def sampled(df: DataFrame, n: int, *by: Column, rows: int | None = None) -> DataFrame:
     """At most n rows, with the smallest hashes of `by`; about n rows reach the driver however many tasks there are.
 
-    Rows are counted first, if their number is not given, so that a share of the hash range gives some n rows and a half; only those are sorted.
+    Rows are counted first, if their number is not given, so that a share of the hash range gives some n rows and a half (and 50, so that few are never none); only those are sorted.
     """
     order = F.xxhash64(*by)
-    share = min(1.0, 1.5 * n / max(df.count() if rows is None else rows, 1))
+    share = min(1.0, (1.5 * n + 50) / max(df.count() if rows is None else rows, 1))
     some = df.withColumn("o", order).filter(F.pmod("o", F.lit(1 << 30)) <= int(share * (1 << 30)))
     return some.orderBy(*[F.col(c).asc() for c in ("o", *df.columns)]).limit(n)

@@ -27,8 +27,8 @@ from .words import Words, mix, slices
 
 #: Words that occur often enough and are sent to every task (8 bytes each); beyond this number phrases are packed from whole codes.
 MOST_WORDS = 1 << 21
-#: Occurrences per shard; phrases and words that a task holds before it sends its filters on; bytes of text read at a time.
-SHARD, HELD, PIECE_BYTES = 1 << 21, 1 << 22, 8 << 20
+#: Occurrences per shard; distinct phrases, or words, that a task holds before it sends them on.
+SHARD, HELD = 1 << 21, 1 << 20
 #: Longest phrase, in words; bits of a code (fewer in tests only).
 LONGEST, CODE_BITS = 3, 63
 
@@ -65,38 +65,49 @@ def word_counts(docs: DataFrame, bits: int) -> DataFrame:
     """(lang, code, word, n): how often each word occurs in each language."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tables, rows = [], 0
         for batch in batches:
-            for piece in slices(batch, most=PIECE_BYTES):
+            for piece in slices(batch):
                 text = Text(piece, bits)
                 for lang in np.unique(text.lang):
                     at = np.flatnonzero(text.lang == lang)
-                    # equal codes may be different words: the length tells most of them apart, the byte check below the rest
-                    order = at[np.argsort(text.codes[at], kind="stable")]
-                    yield _counted(text, order, text.names[lang])
+                    tables.append(_counted(text, at[np.argsort(text.codes[at], kind="stable")], text.names[lang]))
+                    rows += len(tables[-1])
+                if rows > HELD:
+                    tables = [_added(tables)]
+                    rows = len(tables[0])
+                    if rows > HELD // 2:
+                        yield from tables[0].to_batches()
+                        tables, rows = [], 0
+        if rows:
+            yield from _added(tables).to_batches()
 
     return docs.mapInArrow(read, "lang string, code long, word string, n long").groupBy("lang", "code", "word").agg(F.sum("n").alias("n"))
 
 
-def _counted(text: Text, order: np.ndarray, lang: str) -> pa.RecordBatch:
+def _added(tables: list[pa.Table]) -> pa.Table:
+    """Counts of the same word of several slices added up."""
+    by = ["lang", "code", "word"]
+    return pa.concat_tables(tables).group_by(by, use_threads=False).aggregate([("n", "sum")]).rename_columns([*by, "n"])
+
+
+def _counted(text: Text, order: np.ndarray, lang: str) -> pa.Table:
     """Counts of the words at these places, which are sorted by code; words of one code are compared byte by byte with the first."""
     codes, words = text.codes[order], text.words
     starts = np.flatnonzero(np.append(True, codes[1:] != codes[:-1]))
     first = np.repeat(order[starts], np.diff(np.append(starts, len(order))))
     size = words.ends - words.starts
     other = size[order] != size[first]
-    longest = int(size[order].max(initial=0))
     same = np.flatnonzero(~other & (order != first))
-    for k in range(longest):  # all words with a k-th byte at once
+    for k in range(int(size[order[same]].max(initial=0))):  # all words with a k-th byte at once
         same = same[size[order[same]] > k]
-        if not len(same):
-            break
         other[same[words.data[words.starts[order[same]] + k] != words.data[words.starts[first[same]] + k]]] = True
-    n = np.add.reduceat((~other).astype(np.int64), starts)
-    rows = [(int(codes[s]), text.word(order[s]), int(c)) for s, c in zip(starts, n)]
-    rows += [(int(codes[k]), text.word(order[k]), 1) for k in np.flatnonzero(other)]
-    code, word, count = zip(*rows)
-    columns = [pa.array([lang] * len(rows), pa.string()), pa.array(code, pa.int64()), pa.array(word, pa.binary()).cast(pa.string()), pa.array(count, pa.int64())]
-    return pa.RecordBatch.from_arrays(columns, ["lang", "code", "word", "n"])
+    found = np.concatenate([order[starts], order[other]])
+    n = np.concatenate([np.add.reduceat((~other).astype(np.int64), starts), np.ones(int(other.sum()), np.int64)])
+    ends = np.concatenate([[0], np.cumsum(size[found])])
+    spelled = words.data[np.arange(ends[-1]) + np.repeat(words.starts[found] - ends[:-1], size[found])]
+    word = pa.Array.from_buffers(pa.string(), len(found), [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(spelled)])
+    return pa.table({"lang": pa.array([lang] * len(found), pa.string()), "code": pa.array(text.codes[found]), "word": word, "n": pa.array(n)})
 
 
 class Codes:
@@ -278,7 +289,7 @@ def phrase_counts(docs: DataFrame, codes: Codes, words: np.ndarray | None, occur
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = Held(packings, shard_bits)
         for batch in batches:
-            for piece in slices(batch, most=PIECE_BYTES):
+            for piece in slices(batch):
                 text = Text(piece, codes.bits)
                 ids = codes.exact(text)
                 known = np.ones(len(ids), bool)

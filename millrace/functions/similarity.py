@@ -56,14 +56,66 @@ def _codes(texts: list[str], pad: int) -> tuple[np.ndarray, np.ndarray]:
     return table, lengths
 
 
+def _packed(equal: np.ndarray) -> np.ndarray:
+    """(pairs, words): the booleans of each row as bits of 64-bit words, the first one lowest."""
+    bits = np.packbits(equal, axis=1, bitorder="little")
+    out = np.zeros((len(bits), max(-(-equal.shape[1] // 64), 1) * 8), np.uint8)
+    out[:, : bits.shape[1]] = bits
+    return out.view("<u8")
+
+
+def _added(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Sums of numbers of several 64-bit words."""
+    if x.shape[1] == 1:
+        return x + y
+    out, carry = np.empty_like(x), np.zeros(len(x), np.uint64)
+    for w in range(x.shape[1]):
+        part = x[:, w] + y[:, w]
+        out[:, w] = part + carry
+        carry = ((part < y[:, w]) | (out[:, w] < part)).astype(np.uint64)
+    return out
+
+
+def _doubled(x: np.ndarray) -> np.ndarray:
+    out = x << np.uint64(1)
+    out[:, 1:] |= x[:, :-1] >> np.uint64(63)
+    return out
+
+
 def indel_scores(a: np.ndarray, b: np.ndarray, la: np.ndarray, lb: np.ndarray) -> np.ndarray:
-    """2 LCS / (la + lb), which is 1 - (la + lb - 2 LCS) / (la + lb)."""
-    best = np.zeros((len(a), b.shape[1] + 1), dtype=np.int32)
-    for i in range(a.shape[1]):
-        step = np.where(b == a[:, i, None], best[:, :-1] + 1, best[:, 1:])
-        np.maximum.accumulate(step, axis=1, out=best[:, 1:])
-    total = la + lb
-    return np.where(total == 0, 1.0, 2.0 * best[:, -1] / np.maximum(total, 1))
+    """2 LCS / (la + lb), which is 1 - (la + lb - 2 LCS) / (la + lb); one bit per character of `a`, one step per character of `b`."""
+    left = np.full((len(a), max(-(-a.shape[1] // 64), 1)), 2**64 - 1, np.uint64)
+    for j in range(b.shape[1]):
+        same = _packed(a == b[:, j, None])
+        left = _added(left, left & same) | (left & ~same)
+    common = np.bitwise_count(~left).sum(axis=1, dtype=np.int64)
+    return np.where(la + lb == 0, 1.0, 2.0 * common / np.maximum(la + lb, 1))
+
+
+def levenshtein_scores(a: np.ndarray, b: np.ndarray, la: np.ndarray, lb: np.ndarray) -> np.ndarray:
+    """1 - edits / longer; a column of the edit table is two bits per character of `a`: does it go up or down there."""
+    n, words = len(a), max(-(-a.shape[1] // 64), 1)
+    up, down = np.full((n, words), 2**64 - 1, np.uint64), np.zeros((n, words), np.uint64)
+    end = np.maximum(la - 1, 0)
+    at, bit, edits = (np.arange(n), end // 64), (end % 64).astype(np.uint64), la.astype(np.int64)
+    for j in range(b.shape[1]):
+        same = _packed(a == b[:, j, None])
+        level = (_added(up, same & up) ^ up) | same | down
+        rise, fall = down | ~(level | up), level & up
+        change = ((rise[at] >> bit) & np.uint64(1)).astype(np.int64) - ((fall[at] >> bit) & np.uint64(1)).astype(np.int64)
+        edits += np.where(j < lb, change, 0)
+        rise, fall = _doubled(rise), _doubled(fall)
+        rise[:, 0] |= np.uint64(1)
+        up, down = fall | ~(level | rise), rise & level
+    edits = np.where(la == 0, lb, edits)
+    longest = np.maximum(la, lb)
+    return np.where(longest == 0, 1.0, 1.0 - edits / np.maximum(longest, 1))
+
+
+def hamming_scores(a: np.ndarray, b: np.ndarray, la: np.ndarray, lb: np.ndarray) -> np.ndarray:
+    width = min(a.shape[1], b.shape[1])
+    same = (a[:, :width] == b[:, :width]).sum(axis=1)
+    return np.where(la != lb, 0.0, np.where(la == 0, 1.0, 1 - (la - same) / np.maximum(la, 1)))
 
 
 def damerau_scores(a: np.ndarray, b: np.ndarray, la: np.ndarray, lb: np.ndarray) -> np.ndarray:
@@ -92,23 +144,39 @@ def damerau_scores(a: np.ndarray, b: np.ndarray, la: np.ndarray, lb: np.ndarray)
     return np.where(longest == 0, 1.0, 1.0 - cost[np.arange(n), la + 1, lb + 1] / np.maximum(longest, 1))
 
 
-def jaro_scores(a: np.ndarray, b: np.ndarray, la: np.ndarray, lb: np.ndarray) -> np.ndarray:
-    n = len(a)
-    rows, at = np.arange(n), np.arange(b.shape[1])
-    reach = np.maximum(np.maximum(la, lb) // 2 - 1, 0)
+def _matches(a: np.ndarray, b: np.ndarray, reach: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which characters of each side match: each of `a` takes the first equal one of `b` that is free and within reach."""
+    n, one = len(a), np.uint64(1)
     hit_a, hit_b = np.zeros(a.shape, dtype=bool), np.zeros(b.shape, dtype=bool)
-    if b.shape[1]:
+    if 0 < b.shape[1] <= 64:
+        free, near = np.full(n, 2**64 - 1, np.uint64), (one << np.minimum(reach + 1, 63).astype(np.uint64)) - one
+        for i in range(a.shape[1]):
+            # places i - reach to i + reach; a reach of 63 or more covers all places that there are
+            window = near << np.uint64(min(i, 63))
+            behind = np.uint64(2**64 - 1) << np.clip(i - reach, 0, 63).astype(np.uint64)
+            window |= (one << np.uint64(min(i, 63))) - one
+            window = np.where(i + reach >= 63, np.uint64(2**64 - 1), window) & behind
+            found = _packed(b == a[:, i, None])[:, 0] & free & window
+            found &= ~found + one  # the lowest bit
+            hit_a[:, i] = found != 0
+            free &= ~found
+        used = np.unpackbits((~free).astype("<u8").view(np.uint8).reshape(n, 8), axis=1, bitorder="little")
+        hit_b[:] = used[:, : b.shape[1]]
+    elif b.shape[1]:
+        rows, at = np.arange(n), np.arange(b.shape[1])
         for i in range(a.shape[1]):
             open_ = (b == a[:, i, None]) & ~hit_b & (np.abs(at - i) <= reach[:, None])
             first = open_.argmax(axis=1)
             found = open_[rows, first]
             hit_a[:, i] = found
             hit_b[rows[found], first[found]] = True
+    return hit_a, hit_b
+
+
+def jaro_scores(a: np.ndarray, b: np.ndarray, la: np.ndarray, lb: np.ndarray) -> np.ndarray:
+    hit_a, hit_b = _matches(a, b, np.maximum(np.maximum(la, lb) // 2 - 1, 0))
     matched = hit_a.sum(axis=1)
-    width = min(a.shape[1], b.shape[1])
-    in_a = np.take_along_axis(a, np.argsort(~hit_a, axis=1, kind="stable"), axis=1)[:, :width]
-    in_b = np.take_along_axis(b, np.argsort(~hit_b, axis=1, kind="stable"), axis=1)[:, :width]
-    moved = ((in_a != in_b) & (np.arange(width) < matched[:, None])).sum(axis=1) // 2
+    moved = np.bincount(np.repeat(np.arange(len(a)), matched), a[hit_a] != b[hit_b], len(a)).astype(np.int64) // 2
     m = np.maximum(matched, 1)
     score = (matched / np.maximum(la, 1) + matched / np.maximum(lb, 1) + (matched - moved) / m) / 3.0
     return np.where((la == 0) & (lb == 0), 1.0, np.where(matched == 0, 0.0, score))
@@ -122,40 +190,61 @@ def jaro_winkler_scores(a: np.ndarray, b: np.ndarray, la: np.ndarray, lb: np.nda
 
 
 _KERNELS: dict[str, Callable[..., np.ndarray]] = {
+    "levenshtein": levenshtein_scores,
     "damerau_levenshtein": damerau_scores,
     "jaro": jaro_scores,
     "jaro_winkler": jaro_winkler_scores,
+    "hamming": hamming_scores,
     "indel": indel_scores,
 }
 
 
-def score_batch(kernel: Callable[..., np.ndarray], left: pd.Series, right: pd.Series) -> pd.Series:
-    """Scores of one Arrow batch. Pairs are ordered by length so that padding stays small."""
-    out = np.full(len(left), np.nan)
-    usable = np.flatnonzero((left.notna() & right.notna()).to_numpy())
-    a, b = left.to_numpy(), right.to_numpy()
-    size = np.array([(len(a[i]) + 2) * (len(b[i]) + 2) for i in usable], dtype=np.int64)
-    order = np.argsort(size, kind="stable")
+def _cells(measure: str, la: np.ndarray, lb: np.ndarray) -> np.ndarray:
+    """Table cells that a pair of these lengths needs; only damerau keeps all steps."""
+    return (la + 2) * (lb + 2) if measure == "damerau_levenshtein" else la + lb + 64
+
+
+def _in_chunks(measure: str, la: np.ndarray, lb: np.ndarray) -> Iterator[np.ndarray]:
+    """Numbers of pairs that are scored together, of similar lengths so that padding stays small."""
+    size = _cells(measure, la.astype(np.int64), lb.astype(np.int64))
+    order = np.lexsort((lb, size))
     start = 0
     while start < len(order):
-        end = start + 1
-        while end < len(order) and (end - start + 1) * size[order[end]] <= _CELLS:
-            end += 1
-        part = usable[order[start:end]]
-        ca, la = _codes([a[i] for i in part], -1)
-        cb, lb = _codes([b[i] for i in part], -2)
-        out[part] = kernel(ca, cb, la, lb)
+        end = start + max(int(_CELLS // size[order[start]]), 1)
+        while end > start + 1 and (min(end, len(order)) - start) * size[order[min(end, len(order)) - 1]] > _CELLS:
+            end = start + (end - start) // 2
+        yield order[start:end]
         start = end
+
+
+def score_pairs(measure: str, left: tuple, right: tuple, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Scores of the pairs (i, j) of texts given as (table of characters, lengths), padded with different numbers on both sides."""
+    out = np.zeros(len(i))
+    (a, la), (b, lb) = left, right
+    for part in _in_chunks(measure, la[i], lb[j]):
+        x, y = i[part], j[part]
+        out[part] = _KERNELS[measure](a[x, : la[x].max(initial=0)], b[y, : lb[y].max(initial=0)], la[x], lb[y])
+    return out
+
+
+def score_batch(measure: str, left: pd.Series, right: pd.Series) -> pd.Series:
+    """Scores of one Arrow batch."""
+    out = np.full(len(left), np.nan)
+    usable = np.flatnonzero((left.notna() & right.notna()).to_numpy())
+    a, b = left.to_numpy()[usable], right.to_numpy()[usable]
+    la, lb = (np.array([len(t) for t in texts], dtype=np.int64) for texts in (a, b))
+    for part in _in_chunks(measure, la, lb):
+        ca, cb = _codes([a[i] for i in part], -1)[0], _codes([b[i] for i in part], -2)[0]
+        out[usable[part]] = _KERNELS[measure](ca, cb, la[part], lb[part])
     return pd.Series(out).astype("object").where(~np.isnan(out), None)
 
 
 def similarity_udf(measure: str):
     """The Arrow UDF of a measure that has no Spark expression."""
-    kernel = _KERNELS[measure]
 
     def scores(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         for left, right in batches:
-            yield score_batch(kernel, left, right)
+            yield score_batch(measure, left, right)
 
     scores.__annotations__ = {
         "batches": Iterator[tuple[pd.Series, pd.Series]],

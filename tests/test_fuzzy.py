@@ -2,10 +2,13 @@
 
 import random
 
+import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from millrace.functions.similarity import MEASURES, similarity
+from millrace.functions.similarity import MEASURES, score_batch, similarity
+from millrace.operators import blocks, fuzzy
 from millrace.operators.fuzzy import fuzzy_join
 
 
@@ -28,19 +31,109 @@ def texts(seed):
     return sorted(set(base)), sorted({changed(b) for b in base} | set(base[:6]))
 
 
+@pytest.fixture(params=["blocks", "small blocks", "keys"])
+def way(request, monkeypatch):
+    """How pairs find each other; the result must not depend on it."""
+    if request.param == "keys":
+        monkeypatch.setattr(fuzzy, "FEW_PAIRS", 0)
+        monkeypatch.setattr(fuzzy, "MEETING_COST", 0)
+    if request.param == "small blocks":
+        monkeypatch.setattr(blocks, "MOST_TEXTS", 4)
+        monkeypatch.setattr(blocks, "LEAST_TEXTS", 4)
+    return request.param
+
+
+def pairs_of(left, right, maps):
+    return [(r["i"], r["j"]) for r in fuzzy_join(left, right, maps).collect()]
+
+
 @pytest.mark.parametrize("measure", MEASURES)
 @pytest.mark.parametrize("threshold", [30, 72, 90])
-def test_same_pairs_as_brute_force(spark, measure, threshold):
+def test_same_pairs_as_brute_force(spark, way, measure, threshold):
+    if way == "small blocks" and threshold != 72:
+        pytest.skip("how blocks are cut does not depend on the threshold")
     a, b = texts(threshold)
     left = spark.createDataFrame([*enumerate(a), (-1, None)], "i int, a string")
     right = spark.createDataFrame([*enumerate(b), (-1, None)], "j int, b string")
     score = similarity(F.col("a"), F.col("b"), measure)
     every = left.crossJoin(right).withColumn("s", score).filter(F.col("s") >= threshold / 100 - 1e-9)
     want = {(r["i"], r["j"]) for r in every.collect()}
-    got = [(r["i"], r["j"]) for r in fuzzy_join(left, right, [("a", "b", threshold, measure)]).collect()]
+    got = pairs_of(left, right, [("a", "b", threshold, measure)])
     assert len(got) == len(set(got)) and set(got) == want
 
 
+def test_several_conditions(spark, way):
+    a, b = texts(5)
+    rng = random.Random(1)
+    left = spark.createDataFrame([(k, t, rng.choice(a)) for k, t in enumerate(a * 2)], "i int, a string, x string")
+    right = spark.createDataFrame([(k, t, rng.choice(a)) for k, t in enumerate(b)], "j int, b string, y string")
+    maps = [("a", "b", 60, "jaro"), ("x", "y", 40, "indel"), ("a", "y", 0, "levenshtein")]
+    every = left.crossJoin(right)
+    for one, two, threshold, measure in maps:
+        every = every.filter(similarity(F.col(one), F.col(two), measure) >= threshold / 100 - 1e-9)
+    want = sorted((r["i"], r["j"]) for r in every.collect())
+    assert len(want) > 5 and sorted(pairs_of(left, right, maps)) == want
+
+
+def test_key_rows_hold_no_texts_and_limits_are_told(spark, monkeypatch):
+    a, b = (spark.createDataFrame([(t,) for t in side], "t string") for side in texts(1))
+    _, x, _ = fuzzy._both_keyed(fuzzy._texts(a, ["t"], "l"), fuzzy._texts(b, ["t"], "r"), 0, fuzzy.FuzzyMap("t", "t", 80.0))
+    assert dict(x.dtypes) == {"id": "bigint", "size": "int", "kind": "int", "key": "bigint"}
+    with pytest.raises(ValueError, match=r"compare \d+ pairs of texts; the limit is 5"):
+        fuzzy_join(a, b, [("t", "t", 80, "levenshtein")], max_pairs=5)
+
+
+def test_blocks_cover_all_lengths():
+    rng = random.Random(3)
+    for most in (1, 3, 50):
+        counts = {rng.randint(0, 40): rng.randint(1, 120) for _ in range(25)}
+        made = blocks.bands(counts, most)
+        assert made.lengths.tolist() == sorted(counts)
+        for length, first, parts in zip(made.lengths, made.first, made.parts):
+            assert all(made.low[k] <= length <= made.high[k] for k in range(first, first + parts)) and parts * most >= counts[int(length)]
+        for ratio in (0.0, 0.5, 0.9, 1.0):
+            want = sum(n * m for a, n in counts.items() for b, m in counts.items() if min(a, b) >= ratio * max(a, b) - 1e-9)
+            assert blocks.pairs_in_reach(counts, counts, ratio) == want
+
+
+def plain_edits(a, b):
+    line = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        new = [i]
+        for j, y in enumerate(b, 1):
+            new.append(min(line[j] + 1, new[-1] + 1, line[j - 1] + (x != y)))
+        line = new
+    return line[-1]
+
+
+def plain_jaro(a, b):
+    reach, used, taken = max(max(len(a), len(b)) // 2 - 1, 0), [False] * len(b), []
+    for i, x in enumerate(a):
+        at = next((j for j in range(max(0, i - reach), min(len(b), i + reach + 1)) if not used[j] and b[j] == x), None)
+        if at is not None:
+            used[at] = True
+            taken.append(x)
+    other = [y for y, u in zip(b, used) if u]
+    m, moved = len(taken), sum(x != y for x, y in zip(taken, other)) // 2
+    return (m / len(a) + m / len(b) + (m - moved) / m) / 3 if m else float(not a and not b)
+
+
+def test_bit_parallel_scores_of_all_lengths():
+    rng = random.Random(7)
+
+    def word(n):
+        return "".join(rng.choice("abcé 1") for _ in range(n))
+
+    a = [word(rng.choice([0, 1, 5, 40, 63, 64, 65, 100, 128, 140])) for _ in range(250)]
+    b = [word(rng.choice([0, 2, 62, 64, 66, 130])) if k % 3 else a[k][: len(a[k]) // 2] + word(3) + a[k][len(a[k]) // 2 :] for k in range(250)]
+    left, right = pd.Series(a), pd.Series(b)
+    want = [1 - plain_edits(x, y) / max(len(x), len(y), 1) for x, y in zip(a, b)]
+    assert np.allclose(score_batch("levenshtein", left, right).astype(float), want)
+    assert np.allclose(score_batch("jaro", left, right).astype(float), [plain_jaro(x, y) for x, y in zip(a, b)])
+    same = [float(len(x) == len(y)) if not x else (len(x) == len(y)) * sum(p == q for p, q in zip(x, y)) / len(x) for x, y in zip(a, b)]
+    assert np.allclose(score_batch("hamming", left, right).astype(float), same)
+
+
 def test_indel_is_the_longest_common_subsequence(spark):
     df = spark.createDataFrame([("abcde", "ace"), ("", ""), ("abc", "xyz")], "a string, b string")
     got = [r[0] for r in df.select(similarity(F.col("a"), F.col("b"), "indel")).collect()]

@@ -1,15 +1,17 @@
 """Order-dependent computing that no single hot group can pile into one task.
 
 A window over ``partitionBy(keys)`` puts every row of a group into one task. The functions here do
-that only for groups of ordinary size. Rows of hot groups (and of a whole table without keys) are
-range-sorted by (keys, order) into pieces, written to the shared scratch folder, and handled
-piece by piece; what crosses a piece border is carried by a table with one row per piece.
+that only for groups of ordinary size. Rows of hot groups are range-sorted by (keys, order, row hash) into
+pieces, written to the shared scratch folder, and handled piece by piece; what crosses a piece border is
+carried by a table with one row per piece. Numbering a whole table stores nothing: the borders of its pieces
+are literals in the plan, so every pass over the rows cuts them the same way.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 from functools import reduce
+from itertools import accumulate
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -26,6 +28,11 @@ HOT_BYTES = 256 * 1024 * 1024
 # Up to so many hot keys are broadcast, more are joined by a shuffle.
 MAX_BROADCAST_KEYS = 1_000
 
+# Sampled rows per piece that show where a whole table is cut, rows that are worth a piece of their own, and pieces at most.
+RANGE_SAMPLE = 60
+RANGE_ROWS = 5_000_000
+MOST_RANGES = 2_000
+
 # Places of a monotonically increasing id that number the rows of one partition.
 _ROW_BITS = 33
 
@@ -53,12 +60,14 @@ def sort_columns(order_by: OrderBy | None) -> list[Column]:
     return [col(n).desc_nulls_first() if d else col(n).asc_nulls_first() for n, d in order_list(order_by)]
 
 
-def order_key(df: DataFrame, order_by: OrderBy) -> Column:
-    """A struct whose ascending order is the requested order, for use in min_by and max_by."""
+def order_key(df: DataFrame, order_by: OrderBy, plain: bool = False) -> Column:
+    """A struct whose ascending order is the requested order, for use in min_by and max_by; `plain`: with times as numbers."""
     parts: list[Column] = []
     for name, descending in order_list(order_by):
         c, dtype = col(name), df.schema[name].dataType
-        if not descending:
+        if not descending and plain and isinstance(dtype, (T.TimestampType, T.TimestampNTZType)):
+            parts.append(F.unix_micros(c.cast("timestamp")))
+        elif not descending:
             parts.append(c)
         elif isinstance(dtype, (T.DoubleType, T.FloatType)):
             parts += [c.isNotNull(), ~F.isnan(c), -c]
@@ -77,6 +86,50 @@ def order_key(df: DataFrame, order_by: OrderBy) -> Column:
     return F.struct(*[p.alias(f"o{i}") for i, p in enumerate(parts)])
 
 
+def row_hash(df: DataFrame, seed: int = 0) -> Column:
+    """A hash of all columns that can be hashed."""
+    hashed = [col(f.name) for f in df.schema.fields if not isinstance(f.dataType, (T.MapType, T.VariantType))]
+    return F.xxhash64(F.lit(seed), *hashed)
+
+
+_CUTTABLE = (T.NumericType, T.StringType, T.BooleanType, T.DateType, T.TimestampType, T.TimestampNTZType)
+
+
+def range_number(df: DataFrame, order_by: OrderBy, total: int) -> tuple[Column, int] | None:
+    """(number of the range that a row lies in, ranges) in order, rows with equal order by their hash; None for types without literals.
+
+    The borders come from a sample and are literals of the expression, so it gives the same on every pass.
+    """
+    if not all(isinstance(df.schema[n].dataType, _CUTTABLE) for n, _ in order_list(order_by)):
+        return None
+    key = F.struct(order_key(df, order_by, plain=True).alias("k"), row_hash(df).alias("h"))
+    pieces = min(max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // RANGE_ROWS)), MOST_RANGES)
+    share = min(1.0, RANGE_SAMPLE * pieces / max(total, 1))
+    sample = (df if share == 1 else df.sample(False, share, 7)).select(key.alias("key"))
+    known = [r["key"] for r in sample.orderBy("key").collect()]  # some RANGE_SAMPLE rows per piece
+    borders = [known[len(known) * k // pieces] for k in range(1, pieces)] if known else []
+    borders = [b for k, b in enumerate(borders) if k == 0 or b != borders[k - 1]]
+    fields = sample.schema["key"].dataType
+
+    def literal(border) -> Column:
+        parts = [F.lit(v).cast(f.dataType).alias(f.name) for v, f in zip(border["k"], fields["k"].dataType.fields)]
+        return F.struct(F.struct(*parts).alias("k"), F.lit(border["h"]).cast("long").alias("h"))
+
+    def place(low: int, high: int) -> Column:
+        if low == high:
+            return F.lit(low)
+        middle = (low + high) // 2
+        return F.when(key < literal(borders[middle]), place(low, middle)).otherwise(place(middle + 1, high))
+
+    return place(0, len(borders)), len(borders) + 1
+
+
+def before_range(counts: dict[int, int], ranges: int, at: Column) -> Column:
+    """The sum of the counts of all earlier ranges."""
+    sums = list(accumulate((counts.get(k, 0) for k in range(ranges - 1)), initial=0))
+    return F.element_at(F.array(*[F.lit(n).cast("long") for n in sums]), at + 1)
+
+
 def lookup(df: DataFrame, facts: DataFrame, keys: Sequence[str], how: str = "left", small: bool = False) -> DataFrame:
     """Join a table with one row per key; null keys are equal. `small` only for a proven size."""
     names = {k: free_name([*df.columns, *facts.columns], f"key{i}") for i, k in enumerate(keys)}
@@ -113,14 +166,14 @@ def split_hot(
 
 
 def in_ranges(df: DataFrame, keys: Sequence[str], order_by: OrderBy, piece: str, row: str) -> DataFrame:
-    """The frame sorted by (keys, order) over all partitions and written out.
+    """The frame sorted by (keys, order, row hash) over all partitions and written out.
 
     `piece` numbers the partitions, `row` the rows within one; both are stored values, so every
     later pass sees the same ones even when executors are lost.
     """
     by_key = [col(k).asc_nulls_first() for k in keys]
     mark = free_name([*df.columns, piece, row], "mark")
-    ranked = df.orderBy(*by_key, *sort_columns(order_by)).withColumn(mark, F.monotonically_increasing_id())
+    ranked = df.orderBy(*by_key, *sort_columns(order_by), row_hash(df)).withColumn(mark, F.monotonically_increasing_id())
     ranked = ranked.withColumns(
         {
             piece: F.shiftright(col(mark), _ROW_BITS).cast("int"),
@@ -165,9 +218,20 @@ def running_sum(df: DataFrame, keys: Sequence[str], order_by: OrderBy, value: Co
 
 
 def row_numbers(df: DataFrame, keys: Sequence[str], order_by: OrderBy, out: str, start: int = 1) -> DataFrame:
-    """Number the rows of every group from `start` in order. One range sort, no window, when hot."""
+    """Number the rows of every group from `start` in order, equal ones by a hash of the row.
+
+    Without keys the rows are cut into ranges by literal borders, counted once and numbered range by range; nothing is stored.
+    The frame must give the same rows each time it is read.
+    """
     keys = as_list(keys)
     require(df, [*keys, *[n for n, _ in order_list(order_by)]])
+    if not keys and (cut := range_number(df, order_by, df.count())):
+        piece = free_name([*df.columns, out], "piece")
+        at, ranges = cut
+        counts = {r[0]: r[1] for r in df.groupBy(at.alias(piece)).count().collect()}
+        inside = Window.partitionBy(col(piece)).orderBy(*sort_columns(order_by), row_hash(df))
+        number = F.row_number().over(inside) + before_range(counts, ranges, col(piece)) + F.lit(start - 1)
+        return df.withColumn(piece, at).withColumn(out, number.cast("long")).drop(piece)
     usual, hot = split_hot(df, keys) if keys else (None, df)
     parts = []
     if usual is not None:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..names import as_list, col, free_name, require
-from .ordering import OrderBy, lookup, order_list, row_numbers, sort_columns
+from .ordering import OrderBy, before_range, lookup, order_list, range_number, row_hash, row_numbers, sort_columns
 
 # Chosen places up to which a sample is joined by broadcast.
 SMALL_SAMPLE = 100_000
@@ -31,22 +31,41 @@ def head(df: DataFrame, n: int = 100, order_by: OrderBy | None = None) -> DataFr
 def every_nth(df: DataFrame, n: int, order_by: OrderBy) -> DataFrame:
     """About n rows spread evenly: every ceil(rows / n)-th in order, starting with the first.
 
-    Only the order columns are numbered (and stored); the chosen places, at most n, are joined back to the rows.
-    Of rows with equal order columns as many are taken as places were chosen among them.
+    Rows with equal order columns are first counted as one (with map-side combine); running sums over the ranges of the order show how many
+    of each are taken, at most n in all. Those are joined back; among equal ones the smallest row hashes are taken, of which each task sends
+    on no more than are wanted, so a value that half of the rows have costs no more than others. Nothing is stored.
     """
     total = df.count()
     if total <= n:
         return df
     names = list(dict.fromkeys(name for name, _ in order_list(order_by)))
     require(df, names)
-    number, take, place = (free_name(df.columns, w) for w in ("row_at", "take", "place"))
+    take, place, piece, rows = (free_name(df.columns, w) for w in ("take", "place", "piece", "rows"))
     step = math.ceil(total / n)
     keys = [col(c) for c in names]
-    numbered = row_numbers(df.select(*keys), [], order_by, number, start=0).filter(col(number) % step == 0)
-    chosen = numbered.groupBy(*keys).agg(F.count(F.lit(1)).alias(take))
+    only = df.select(*keys)
+    cut = range_number(only, order_by, total)
+    if cut is None:  # an order without literals: numbered from a stored sort
+        numbered = row_numbers(only, [], order_by, place, start=0).filter(col(place) % step == 0)
+        chosen = numbered.groupBy(*keys).agg(F.count(F.lit(1)).alias(take))
+    else:
+        at, ranges = cut
+        counts = {r[0]: r[1] for r in only.groupBy(at.alias(piece)).count().collect()}
+        groups = only.withColumn(piece, at).groupBy(col(piece), *keys).agg(F.count(F.lit(1)).alias(rows))
+        inside = Window.partitionBy(col(piece)).orderBy(*sort_columns(order_by)).rowsBetween(Window.unboundedPreceding, 0)
+        end = F.sum(col(rows)).over(inside) + before_range(counts, ranges, col(piece))
+        # how many of 0, step, 2 step, ... lie among the places end - rows to end - 1
+        taken = F.ceil(end / F.lit(step)) - F.ceil((end - col(rows)) / F.lit(step))
+        chosen = groups.withColumn(take, taken.cast("long")).filter(col(take) > 0).select(*keys, take)
+    if n <= SMALL_SAMPLE:  # at most n rows: read once, then part of the plan
+        known = chosen.collect()
+        most, chosen = max(r[take] for r in known), df.sparkSession.createDataFrame(known, chosen.schema)
+    else:
+        most = chosen.agg(F.max(take)).first()[0]
     found = lookup(df, chosen, names, "inner", small=n <= SMALL_SAMPLE)
-    among = Window.partitionBy(*keys).orderBy(F.lit(0))
-    return found.withColumn(place, F.row_number().over(among)).filter(col(place) <= col(take)).drop(place, take)
+    among = Window.partitionBy(*keys).orderBy(row_hash(df))
+    numbered = found.withColumn(place, F.row_number().over(among)).filter((col(place) <= most) & (col(place) <= col(take)))
+    return numbered.drop(place, take)
 
 
 def shuffled_sample(df: DataFrame, n: int, key: str | Sequence[str], seed: int = 0) -> DataFrame:

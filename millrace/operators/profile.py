@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
+import math
+import sys
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..names import as_list, col
 from ..types import group_of
-from .aggregate import median_of
-from .ordering import OrderBy, sort_columns, split_hot
+from .ordering import OrderBy, order_key, sort_columns
 from .sorting import every_nth
 
 EXPLORE_ROWS = 10_000
@@ -23,6 +24,9 @@ _TEMPORAL = (T.DateType, T.TimestampType, T.TimestampNTZType)
 # Rows at the start of a table that give the example values of all columns.
 SAMPLE_ROWS = 10_000
 
+# Parts that a range of values is cut into when a median is looked for, and values that may be sorted on the driver to end the search.
+PARTS, FEW_VALUES = 1 << 14, 10_000
+
 
 def _is_number(dtype: T.DataType) -> bool:
     return isinstance(dtype, T.NumericType)
@@ -33,7 +37,7 @@ def _countable(name: str, dtype: T.DataType) -> Column:
     return F.to_json(col(name)) if isinstance(dtype, (T.MapType, T.VariantType)) else col(name)
 
 
-def _statistics(df: DataFrame, fields: Sequence[T.StructField], approx: bool, medians: bool, text_range: bool):
+def _statistics(df: DataFrame, fields: Sequence[T.StructField], approx: bool, text_range: bool):
     """Per field the aggregates of one shared pass, named by position."""
     out = []
     for i, f in enumerate(fields):
@@ -51,8 +55,6 @@ def _statistics(df: DataFrame, fields: Sequence[T.StructField], approx: bool, me
             (F.avg(c).cast("double") if number else none).alias(f"mean{i}"),
             (F.stddev_samp(c).cast("double") if number else none).alias(f"std{i}"),
         ]
-        if medians:
-            out.append((F.median(c).cast("double") if number else none).alias(f"median{i}"))
         if text_range:
             text = F.min(c).cast("string"), F.max(c).cast("string")
             empty = F.lit(None).cast("string")
@@ -61,6 +63,69 @@ def _statistics(df: DataFrame, fields: Sequence[T.StructField], approx: bool, me
     return out
 
 
+def medians(df: DataFrame, columns: Sequence[str]) -> dict[str, float | None]:
+    """Exact medians of number columns, all found together; null where a column has no values. NaN counts as the largest value.
+
+    The range in which a median lies is cut into parts, whose rows are counted with map-side combine, until few values are left. Every step is
+    one pass over the rows whatever the number of columns and sends at most PARTS rows per column to the driver.
+    """
+    most = sys.float_info.max
+    values = [F.struct(F.lit(i).alias("i"), col(c).cast("double").alias("v")) for i, c in enumerate(columns)]
+    if not values:
+        return {}
+    each = df.select(F.explode(F.array(*values)).alias("e")).select("e.*").filter("v is not null")
+    finite = F.when(~F.isnan("v"), F.least(F.greatest("v", F.lit(-most)), F.lit(most)))
+    out: dict[int, list[float]] = {}
+    wanted: dict[int, tuple[float, float, list[int]]] = {}  # column: range of values, places that are looked for within it
+    known = {}
+    for r in each.groupBy("i").agg(F.count(F.lit(1)).alias("n"), F.count(finite).alias("m"), F.min(finite).alias("low"), F.max(finite).alias("high")).collect():
+        places = sorted({(r.n - 1) // 2, r.n // 2})
+        known[r.i] = len(places)
+        out[r.i] = [math.nan for p in places if p >= r.m]
+        if rest := [p for p in places if p < r.m]:
+            wanted[r.i] = (r.low, r.high, rest)
+    while wanted:
+        inside, part = F.lit(False), F.lit(0)
+        for i, (low, high, _) in wanted.items():
+            here = F.col("i") == i
+            inside |= here & finite.between(F.lit(low), F.lit(high))
+            if high > low:
+                low, high = max(low, -most), min(high, most)
+                share = (finite / 2 - F.lit(low / 2)) / F.lit(high / 2 - low / 2)
+                part = F.when(here, F.floor(share * (PARTS - 1)).cast("int")).otherwise(part)
+        counts = each.filter(inside).groupBy("i", part.alias("part"))
+        counts = counts.agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("low"), F.max("v").alias("high")).collect()
+        small, now = {}, wanted
+        wanted = {}
+        for i, (_, _, places) in now.items():
+            before, ranges = 0, []
+            for r in sorted((r for r in counts if r.i == i), key=lambda r: r.part):
+                here = [p - before for p in places if before <= p < before + r.n]
+                before += r.n
+                if here:
+                    ranges.append((r.low, r.high, r.n, here))
+            (low, _, first, one), (_, high, _, two) = ranges[0], ranges[-1]
+            if len(ranges) > 1:  # the last value of one part and the first of another
+                out[i] += [ranges[0][1], ranges[1][0]]
+            elif low == high:
+                out[i] += [low] * len(one)
+            elif first <= FEW_VALUES:
+                small[i] = (low, high, one)
+            else:
+                wanted[i] = (low, high, one)
+        if small:
+            near = F.lit(False)
+            for i, (low, high, _) in small.items():
+                near |= (F.col("i") == i) & F.col("v").between(F.lit(low), F.lit(high))
+            found: dict[int, list[float]] = {i: [] for i in small}
+            for r in each.filter(near).collect():  # at most FEW_VALUES per column
+                found[r.i].append(r.v)
+            for i, (_, _, places) in small.items():
+                ordered = sorted(found[i])
+                out[i] += [ordered[p] for p in places]
+    return {c: sum(out[i]) / known[i] if i in known else None for i, c in enumerate(columns)}
+
+
 def _fields(df: DataFrame, columns: str | Sequence[str] | None) -> list[T.StructField]:
     chosen = as_list(columns) or df.columns
     return [df.schema[c] for c in chosen]
@@ -69,8 +134,8 @@ def _fields(df: DataFrame, columns: str | Sequence[str] | None) -> list[T.Struct
 def _samples(df: DataFrame, fields: Sequence[T.StructField], order_by: OrderBy | None, n: int) -> DataFrame:
     """First n non-null values per column as text.
 
-    The first `SAMPLE_ROWS` rows serve all columns in one job; only a column with fewer than n values there is
-    looked for in the whole table.
+    The first `SAMPLE_ROWS` rows serve all columns in one job; columns with fewer than n values there are
+    looked for in the whole table, in one job together.
     """
     order, spark = sort_columns(order_by), df.sparkSession
     ordered = df.orderBy(*order) if order else df
@@ -82,9 +147,14 @@ def _samples(df: DataFrame, fields: Sequence[T.StructField], order_by: OrderBy |
     found = {f.name: values for f, values in zip(fields, top.agg(*firsts).first())}
     sparse = [f for f in fields if len(found[f.name]) < n]
     if sparse and df.limit(SAMPLE_ROWS + 1).count() > SAMPLE_ROWS:
+        # One more job for all of them: each task sends on at most n values of a column.
+        key = order_key(df, order_by) if order_by else F.monotonically_increasing_id()
+        values = [F.struct(F.lit(f.name).alias("name"), col(f.name).cast("string").alias("v")) for f in sparse]
+        each = df.select(key.alias("key"), F.explode(F.array(*values)).alias("e")).select("key", "e.*").filter("v is not null")
+        place = F.row_number().over(Window.partitionBy("name").orderBy("key"))
+        first = each.withColumn("at", place).filter(F.col("at") <= n).orderBy("name", "at").collect()
         for f in sparse:
-            known = ordered.filter(col(f.name).isNotNull()).select(col(f.name).cast("string"))
-            found[f.name] = [r[0] for r in known.head(n)]
+            found[f.name] = [r["v"] for r in first if r["name"] == f.name]
     rows = [(name, ", ".join(values)) for name, values in found.items() if values]
     return spark.createDataFrame(rows, "sample_of string, samples string")
 
@@ -103,7 +173,7 @@ def profile(
     wants. Samples are the first values in `order_by`, or any without it; 0 leaves them out.
     """
     fields = _fields(df, columns)
-    one = df.agg(F.count(F.lit(1)).alias("rows"), *_statistics(df, fields, approx, False, False))
+    one = df.agg(F.count(F.lit(1)).alias("rows"), *_statistics(df, fields, approx, False))
     entries = [
         F.struct(
             F.lit(i).alias("position"),
@@ -146,19 +216,14 @@ def column_stats(
 ) -> DataFrame:
     """The profile with median, the range of text columns and examples.
 
-    All rows by default; `limit` looks at the first rows in `order_by` only. Medians are exact; a
-    large table computes them from value counts instead of in memory.
+    All rows by default; `limit` looks at the first rows in `order_by` only. Medians are exact at every size (`medians`); jobs do
+    not grow with the number of columns.
     """
     fields = _fields(df, columns)
     rows = df if limit is None else (df.orderBy(*sort_columns(order_by)) if order_by else df).limit(limit)
-    big = limit is None and split_hot(rows, [])[1] is not None
-    one = rows.agg(F.count(F.lit(1)).alias("rows"), *_statistics(rows, fields, False, not big, True))
-    if big:
-        for i, f in enumerate(fields):
-            if _is_number(f.dataType):
-                one = one.join(F.broadcast(median_of(rows, [], f.name, f"median{i}")), F.lit(True), "left")
-            else:
-                one = one.withColumn(f"median{i}", F.lit(None).cast("double"))
+    one = rows.agg(F.count(F.lit(1)).alias("rows"), *_statistics(rows, fields, False, True))
+    middle = medians(rows, [f.name for f in fields if _is_number(f.dataType)])
+    one = one.withColumns({f"median{i}": F.lit(middle.get(f.name)).cast("double") for i, f in enumerate(fields)})
 
     def text(number: str, other: str, i: int) -> Column:
         return F.coalesce(F.col(f"{number}{i}").cast("string"), F.col(f"{other}{i}")).alias(number)
@@ -187,7 +252,7 @@ def column_stats(
 def column_flags(df: DataFrame, columns: str | Sequence[str] | None = None, approx: bool = False) -> DataFrame:
     """Per column: filled count, distinct share, and whether it is unique, nullable, or has values."""
     fields = _fields(df, columns)
-    one = df.agg(F.count(F.lit(1)).alias("rows"), *_statistics(df, fields, approx, False, False))
+    one = df.agg(F.count(F.lit(1)).alias("rows"), *_statistics(df, fields, approx, False))
     entries = []
     for i, f in enumerate(fields):
         nulls = F.col(f"nulls{i}")

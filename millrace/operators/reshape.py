@@ -27,13 +27,20 @@ SELECTORS = {
 }
 
 
-def pivot_values(df: DataFrame, column: str, limit: int | None = None) -> list[str]:
-    """Sorted distinct values of the pivot column as text, null as ``null``; they become columns."""
+# Pivot values that may become columns unless the caller allows more: a plan of more columns helps nobody, and they pass through the driver.
+MAX_PIVOT_VALUES = 10_000
+
+
+def pivot_values(df: DataFrame, column: str, limit: int = MAX_PIVOT_VALUES) -> list[str]:
+    """Sorted distinct values of the pivot column as text, null as ``null``; they become columns.
+
+    More than `limit` are an error; no more than limit + 1 values ever reach the driver.
+    """
     text = F.coalesce(col(column).cast("string"), F.lit("null")).alias("value")
-    found = df.select(text).distinct()
-    if limit is not None and (n := found.count()) > limit:
-        raise ValueError(f"Pivot column {column!r} has {n} values, more than {limit}; list the ones to use in `values`")
-    return [r["value"] for r in found.orderBy("value").collect()]
+    found = [r["value"] for r in df.select(text).distinct().limit(limit + 1).collect()]
+    if len(found) > limit:
+        raise ValueError(f"Pivot column {column!r} has at least {len(found)} values, more than {limit}; list the ones to use in `values` or raise `max_values`")
+    return sorted(found, key=lambda v: v.encode("utf-8", "surrogatepass"))
 
 
 def pivot(
@@ -44,7 +51,7 @@ def pivot(
     aggregations: str | Sequence[str] = "sum",
     values: Sequence[Any] | None = None,
     order_by: OrderBy | None = None,
-    max_values: int | None = None,
+    max_values: int = MAX_PIVOT_VALUES,
 ) -> DataFrame:
     """One row per index, one column per pivot value; a missing cell is null.
 

@@ -98,18 +98,27 @@ def s9(spark, d):
     return union(table(spark, d, "region"), memory.empty(spark, "r_regionkey int, founded date"))
 
 
-def _row_groups(partition, partitions, path):
-    import pyarrow.parquet as pq
+def _check_digits(partition, partitions, keys, filters=()):
+    """Numbers with their check digits (modulo 97), as a service outside of Spark might hand them out, in Arrow batches."""
+    import numpy as np
+    import pyarrow as pa
 
-    source = pq.ParquetFile(path)
-    for group in range(partition, source.num_row_groups, partitions):
-        yield from source.read_row_group(group, columns=["c_custkey", "c_name"]).to_pylist()
+    low = max([0, *(value for name, operator, value in filters if name == "key" and operator in (">", ">=", "="))])
+    for start in range(low + partition * 4096, int(keys), partitions * 4096):
+        key = np.arange(start, min(start + 4096, int(keys)))
+        yield pa.RecordBatch.from_pydict({"unused": key, "check": (98 - key * 100 % 97).astype(np.int32), "key": key})
 
 
-@query("s11_read_custom", "SELECT c_custkey, c_name FROM customer")
+@query(
+    "s11_read_custom",
+    "SELECT c_custkey, c_name, CAST(98 - c_custkey * 100 % 97 AS INTEGER) AS check_digits FROM customer WHERE c_custkey >= 20",
+)
 def s11(spark, d):
-    fields = [("c_custkey", "Int64"), {"name": "c_name", "type": "String"}]
-    return custom.read_custom(spark, _row_groups, fields, partitions=4, path=f"{d}/customer.parquet")
+    customers = table(spark, d, "customer")
+    keys = customers.agg(F.max("c_custkey") + 1).first()[0]
+    fields = [("key", "Int64"), {"name": "check", "type": "Int32"}]
+    digits = custom.read_custom(spark, _check_digits, fields, partitions=4, keys=str(keys)).filter("key >= 20")
+    return join(customers, digits, {"c_custkey": "key"}).select("c_custkey", "c_name", F.col("check").alias("check_digits"))
 
 
 @query(
@@ -122,9 +131,28 @@ def s12(spark, d):
     return join(numbers, orders, {"id": "o_orderkey"}).select("id", "o_totalprice")
 
 
-@query("s13_synthetic_people")  # made of Spark hash values, which SQL engines do not share
+@query(
+    "s13_synthetic_people",
+    "SELECT c_nationkey, count(*) AS people, count(*) AS named, count(*) AS reachable, count(*) AS called, count(*) AS born, count(*) AS housed, "
+    "count(*) AS sold, count(*) AS again FROM customer GROUP BY c_nationkey",
+)
 def s13(spark, d):
-    return memory.synthetic_people(spark, table(spark, d, "customer").count(), seed=7)
+    """A person for every customer; what is fixed about people is checked, their made-up values are not an SQL engine's matter."""
+    customers = table(spark, d, "customer").select("c_custkey", "c_nationkey")
+    n = customers.count()
+    people, again = (memory.synthetic_people(spark, n, seed=7, number=name) for name in ("n", "m"))
+    found = join(customers, people, {"c_custkey": "n"})
+    found = found.join(again.repartition(5).select("m", F.xxhash64(*memory.PEOPLE).alias("same")), F.col("c_custkey") == F.col("m"))
+    checks = {
+        "named": F.col("Name").rlike("^[A-Z][a-z]+ [A-Z][a-z]+$"),
+        "reachable": F.col("Email").rlike("^[a-z]+_[a-z]+[.][0-9]{1,2}@example[.](com|org|net)$"),
+        "called": F.col("Phone").rlike("^555-[0-9]{3}-[0-9]{4}$"),
+        "born": F.col("DOB").between("1940-01-01", "2008-06-13"),
+        "housed": F.col("Address").rlike("^[1-9][0-9]{2} [A-Z]") & F.col("Zipcode").rlike("^[0-9]{5}$") & F.col("City").isNotNull() & F.col("Country").isNotNull(),
+        "sold": F.col("sales_data").between(0, 1000) & F.col("ID").between(1, 1_000_000) & F.col("Work").isNotNull(),
+        "again": F.xxhash64(*memory.PEOPLE) == F.col("same"),
+    }
+    return found.groupBy("c_nationkey").agg(F.count(F.lit(1)).alias("people"), *[F.count_if(c).alias(k) for k, c in checks.items()])
 
 
 @query("k1_write_csv", "SELECT p_partkey, p_name, p_brand, p_type, p_size, p_retailprice FROM part")

@@ -47,8 +47,14 @@ def written(df: DataFrame, label: str) -> DataFrame:
 def discard(df: DataFrame) -> None:
     """Delete what `written` stored for this frame; nothing may read it any more."""
     path = getattr(df, "_scratch", None)
-    jvm = getattr(df.sparkSession, "_jvm", None)  # a Connect session has none; its folder is cleaned from outside
-    if path is None or jvm is None:
+    if path is not None:
+        delete_path(df.sparkSession, path)
+
+
+def delete_path(spark: SparkSession, path: str) -> None:
+    """Delete a file or folder of any file system that Spark reaches; nothing happens if it is not there."""
+    jvm = getattr(spark, "_jvm", None)  # a Connect session has none; its folder is cleaned from outside
+    if jvm is None:
         return
     target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(target, True)
+    target.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(target, True)

@@ -37,12 +37,17 @@ def checked_query(query: str) -> str:
 
     The text is read once from left to right. Literals, quoted names and comments are stepped over, so
     words in them mean nothing; what counts is the first word and, after WITH, the first word outside
-    brackets that starts the statement proper.
+    brackets that starts the statement proper. A named query of WITH may not change data either: what follows
+    AS and its bracket must not be one of the changing verbs.
     """
-    words, ended = [], False
+    words, ended, before = [], False, ["", ""]
     for kind, word, depth in _lexemes(query or ""):
         if ended:
             raise UnsafeQuery("Only one statement can be read")
+        if kind == "word" and before[1] == "(" and before[0] in ("AS", "MATERIALIZED") and word.upper() in _CHANGING:
+            raise UnsafeQuery(f"{word.upper()} inside a query changes data")
+        if word != "(" or before[1] != "(":  # several brackets count as one
+            before = [before[1], word.upper()]
         if kind == "end":
             ended = True
         elif kind == "word" and depth == 0:
@@ -57,6 +62,9 @@ def checked_query(query: str) -> str:
     return query.strip().rstrip(";").strip()
 
 
+#: Verbs that change data in a bracket.
+_CHANGING = frozenset({"INSERT", "UPDATE", "DELETE", "MERGE", "REPLACE", "TRUNCATE"})
+
 #: Words that can begin the statement after WITH.
 _VERBS = frozenset({"SELECT", "INSERT", "UPDATE", "DELETE", "MERGE", "VALUES", "TABLE"})
 

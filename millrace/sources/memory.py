@@ -90,8 +90,15 @@ def _number(low: int, high: int, seed: int, salt: str) -> Column:
     return F.pmod(F.xxhash64(F.col("n"), F.lit(seed), F.lit(salt)), F.lit(high - low + 1)) + low
 
 
-def synthetic_people(spark: SparkSession, n: int, seed: int = 0) -> DataFrame:
-    """Made-up people for demonstrations; the same n and seed give the same rows on any cluster."""
+#: The columns of synthetic people.
+PEOPLE = ("ID", "Name", "Address", "City", "Email", "Phone", "DOB", "Work", "Zipcode", "Country", "sales_data")
+
+
+def synthetic_people(spark: SparkSession, n: int, seed: int = 0, number: str | None = None) -> DataFrame:
+    """Made-up people for demonstrations; the same n and seed give the same rows on any cluster.
+
+    `number` names a further column that counts them from 0, to be joined with rows of one's own.
+    """
     people = spark.range(n).withColumnRenamed("id", "n")
     name = F.concat_ws(" ", _pick(FIRST_NAMES, seed, "first"), _pick(LAST_NAMES, seed, "last"))
     digits = F.lpad(_number(0, 9_999_999, seed, "phone").cast("string"), 7, "0")
@@ -105,6 +112,7 @@ def synthetic_people(spark: SparkSession, n: int, seed: int = 0) -> DataFrame:
         _pick(DOMAINS, seed, "domain"),
     )
     return people.select(
+        *([] if number is None else [F.col("n").alias(number)]),
         _number(1, 1_000_000, seed, "id").alias("ID"),
         name.alias("Name"),
         F.concat_ws(" ", house, _pick(STREETS, seed, "street")).alias("Address"),

@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import delete_path
+
 BATCH_COLUMN = "batch_id"
 
 
@@ -26,8 +28,8 @@ def run_incremental(
     """Read the files that arrived since the last run, transform them, and add the result to `output`.
 
     Returns the number of batches processed. Progress is kept in `checkpoint`. The output is Parquet
-    partitioned by batch, and a batch that is repeated after a failure replaces itself, so every
-    file counts exactly once. `transform` sees one batch at a time.
+    partitioned by batch. A batch that is repeated after a failure first deletes what it wrote before, also if
+    it now has no rows, so every file counts exactly once. `transform` sees one batch at a time.
     """
     reader = spark.readStream.format(format).schema(schema).options(**options)
     if max_files_per_batch is not None:
@@ -36,8 +38,8 @@ def run_incremental(
 
     def add(batch: DataFrame, batch_id: int) -> None:
         rows = transform(batch).withColumn(BATCH_COLUMN, F.lit(batch_id).cast("long"))
-        writer = rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-        writer.partitionBy(BATCH_COLUMN).parquet(output)
+        delete_path(spark, f"{output.rstrip('/')}/{BATCH_COLUMN}={batch_id}")
+        rows.write.mode("append").partitionBy(BATCH_COLUMN).parquet(output)
         done.append(batch_id)
 
     stream = reader.load(input_dir).writeStream.foreachBatch(add)

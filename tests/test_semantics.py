@@ -2,13 +2,14 @@
 
 import datetime as dt
 import warnings
+from functools import partial
 
 import pytest
 from pyspark.sql import functions as F
 
 from millrace.functions.catalogue import CATALOGUE, call
 from millrace.functions.formula import expression, formula, to_sql
-from millrace.operators import columns, joins
+from millrace.operators import columns, joins, reshape
 from millrace.operators.aggregate import group_by
 from millrace.operators.contract import enforce
 from millrace.operators.filters import basic_filter, filter_expr
@@ -19,7 +20,8 @@ from millrace.operators.sets import compare, union, unique
 from millrace.operators.sorting import every_nth, shuffled_sample, sort
 from millrace.operators.windows import window
 from millrace.plans.steps import Steps
-from millrace.sources import jdbc, memory, readers, writers
+from millrace.sources import custom, jdbc, memory, readers, writers
+from millrace.streaming import incremental
 from millrace.types import supertype, type_named
 
 
@@ -248,11 +250,15 @@ def test_jdbc_queries_are_checked():
         "/* DELETE FROM t */ select \"drop table\" from t",
         "WITH a AS (SELECT 1 AS update_set), b AS (SELECT 2) SELECT * FROM a",
         "SELECT 'it''s' FROM t",
+        "WITH d(delete, x) AS (SELECT replace(a, 'x', 'y'), 2 FROM t) SELECT count(update) FROM d",
+        "SELECT (replace(a, 'x', 'y')) AS x, cast(b AS (int)) FROM t",
     ):
         assert jdbc.checked_query(good) == good
     for bad in (
         "", "  -- nothing", "DROP TABLE x", "WITH a AS (SELECT 1) DELETE FROM a", "SELECT 1; INSERT INTO t VALUES (1)",
         "SELECT * INTO copy FROM t", "SELECT 'open", "SELECT 1 /* open", "SELECT 1) FROM t", "CALL f()",
+        "WITH d AS (DELETE FROM t RETURNING *) SELECT * FROM d", "with a as (select 1), d as materialized ((\n update t set a = 1 returning a)) select 1",
+        "WITH d AS NOT MATERIALIZED (/* no */ INSERT INTO t VALUES (1) RETURNING a) SELECT * FROM d",
     ):
         with pytest.raises(jdbc.UnsafeQuery):
             jdbc.checked_query(bad)
@@ -306,3 +312,36 @@ def test_every_nth_with_ties_and_nulls(spark):
     per_key = {r.k: r["count"] for r in found.groupBy("k").count().collect()}
     assert per_key == {None: 4, 1: 2, 2: 3, 3: 1}
     assert [r.id for r in every_nth(df, 10, ("id", "desc")).orderBy("id").collect()] == list(range(9, 100, 10))
+
+
+def test_custom_sources_yield_batches_and_get_filters(spark):
+    def _numbers(partition, partitions, filters=()):
+        import pyarrow as pa
+
+        low = max([0, *(v for name, op, v in filters if (name, op) == ("key", ">="))])
+        assert low == 990 or not filters, "the filter is handed down"
+        yield pa.RecordBatch.from_pydict({"other": list(range(low, 1000)), "seen": [len(filters)] * (1000 - low), "key": list(range(low, 1000))})
+
+    found = custom.read_custom(spark, _numbers, "key long, seen long", name="numbers").filter("key >= 990 and seen > 0 and key % 2 = 0")
+    assert sorted(r.key for r in found.collect()) == [990, 992, 994, 996, 998]
+
+
+def test_too_many_pivot_values_raise_early(spark):
+    wide = spark.range(1_000_000).select(F.lit(1).alias("k"), F.col("id").alias("kind"), F.lit(2).alias("v"))
+    with pytest.raises(ValueError, match="'kind' has at least 10001 values, more than 10000"):
+        reshape.pivot(wide, "k", "kind", "v")
+    assert len(reshape.pivot(wide.limit(30), "k", "kind", "v", max_values=30).columns) == 31
+
+
+def test_a_repeated_batch_replaces_itself_even_without_rows(spark, tmp_path):
+    source, out, mark = (str(tmp_path / n) for n in ("in", "out", "mark"))
+    spark.range(5).write.parquet(f"{source}/a")
+    run = partial(incremental.run_incremental, spark, f"{source}/*", "id long", output=out, checkpoint=mark)
+    assert run(transform=lambda b: b) == 1 and incremental.incremental_result(spark, out).count() == 5
+    spark.range(5, 8).write.parquet(f"{source}/b")
+    assert run(transform=lambda b: b) == 1 and incremental.incremental_result(spark, out).count() == 8
+    for name in ("1", ".1.crc"):  # as if the job had ended between its output and its commit
+        (tmp_path / "mark" / "commits" / name).unlink(missing_ok=True)
+    assert run(transform=lambda b: b.filter("id < 0")) == 1
+    assert sorted(r.id for r in incremental.incremental_result(spark, out).collect()) == [0, 1, 2, 3, 4]
+    assert run(transform=lambda b: b) == 0

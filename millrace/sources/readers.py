@@ -42,14 +42,16 @@ def read_csv(
     infer_rows: int | None = None,
     ignore_errors: bool = False,
     trim_names: bool = False,
-    multi_line: bool = False,
+    multi_line: bool | str = False,
 ) -> DataFrame:
     """Read delimited text.
 
     Without a schema the types come from all lines, or, if `infer_rows` is given, from that many lines
     at the start of the first file (0: all text); dates are recognised. `skip` drops that many lines at the start of
     every file before the header. A bad value stops the read, or becomes null with `ignore_errors`.
-    Quoted line breaks need ``multi_line=True``, which reads each file in one task; without it files are split.
+    Quoted line breaks need ``multi_line=True``. With a schema, files are then still split (`quoted_records`), which asks that quotes
+    stand around whole fields only, doubled inside them; ``multi_line="file"`` reads each file in one task and takes
+    stray quotes too, as does a read without a schema.
     """
     mode = "PERMISSIVE" if ignore_errors else "FAILFAST"
     encoding = ENCODINGS.get(encoding.lower(), encoding)
@@ -58,7 +60,10 @@ def read_csv(
         if skip:
             raise ValueError("skip reads one record per line; it cannot be combined with multi_line")
         options["multiLine"] = "true"
-    if skip:
+    if multi_line is True and schema is not None and quote and encoding.upper() in ("UTF-8", "ISO-8859-1", "US-ASCII"):
+        records = quoted_records(spark, path, quote, encoding, header)
+        df = records.select(F.from_csv("value", _ddl(_schema(schema)), options).alias("r")).select("r.*")
+    elif skip:
         df = _read_skipping(spark, path, skip, header, options, schema, infer_rows)
     else:
         options["header"] = str(header).lower()
@@ -148,6 +153,88 @@ def lines_after(
     return placed.mapInArrow(drop_first, "value string").filter("value <> ''")
 
 
+def _open_blocks(counts: list) -> dict[tuple[int, int], tuple[int, int]]:
+    """(file, block): (is a quote open where the block starts, the block in which the record that is open there began), from quotes per block."""
+    out: dict[tuple[int, int], tuple[int, int]] = {}
+    last, open_, began, before = None, 0, 0, None
+    for file, block, quotes in sorted(counts):
+        if file != last:
+            last, open_, began, before = file, 0, 0, None
+        elif open_ and (before[1] or not before[2]):  # the block before closed a record and opened this one, or opened its first
+            began = before[0]
+        out[file, block] = (open_, began)
+        before = (block, quotes > 0, open_)
+        open_ = (open_ + quotes) % 2
+    return out
+
+
+def quoted_records(spark: SparkSession, path: str, quote: str = '"', encoding: str = "UTF-8", header: bool = False) -> DataFrame:
+    """The records of delimited text (`value`) whose quoted fields may hold line breaks, from files that are split as usual.
+
+    One pass counts the quotes of each split; whether a quote is open where a split starts is the parity of all quotes before it in its file. A
+    second pass joins lines to records within each split; the few records that cross a border leave it in parts, which are put together by a
+    group of one row per border. `header` drops the first record of each file. Records without text are left out, as the reader does.
+    """
+    value = F.col("value") if encoding.upper() == "UTF-8" else F.decode(F.col("value").cast("binary"), encoding)
+    lines = spark.read.option("lineSep", "\n").text(path)
+    lines = lines.select(value.alias("value"), F.xxhash64("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"))
+    quotes = F.length("value") - F.length(F.replace("value", F.lit(quote), F.lit("")))
+    # one row per split: some 8 per GB
+    counts = lines.groupBy("file", "block").agg(F.sum(quotes).alias("quotes")).collect()
+    at_start = _open_blocks([tuple(r) for r in counts])
+
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place, held, open_, head, first = None, [], 0, False, False
+        out: list[tuple] = []
+
+        def closed(text: str) -> None:
+            nonlocal head, first
+            if head:  # the rest of a record that began in an earlier split
+                out.append((text, place[0], at_start[place][1], place[1]))
+                head = False
+            elif text.rstrip("\r"):
+                if first:
+                    first = False
+                else:
+                    out.append((text.rstrip("\r"), None, None, None))
+
+        def left() -> None:
+            if held:  # goes on in the next split
+                out.append(("\n".join(held), place[0], at_start[place][1] if head else place[1], place[1]))
+
+        for batch in batches:
+            for text, file, block in zip(*(batch.column(c).to_pylist() for c in ("value", "file", "block"))):
+                if place != (file, block):
+                    left()
+                    place, held = (file, block), []
+                    open_ = at_start[place][0]
+                    head, first = bool(open_), header and block == 0
+                if quote in text:
+                    open_ = (open_ + text.count(quote)) % 2
+                if open_:
+                    held.append(text)
+                elif held:
+                    held.append(text)
+                    closed("\n".join(held))
+                    held = []
+                else:
+                    closed(text)
+            yield pa.RecordBatch.from_pylist([dict(zip(_PARTS.names, row)) for row in out], schema=_PARTS)
+            out.clear()
+        left()
+        yield pa.RecordBatch.from_pylist([dict(zip(_PARTS.names, row)) for row in out], schema=_PARTS)
+
+    found = lines.mapInArrow(join, "value string, file long, began long, block long")
+    # Splits are read once more for the parts that cross borders; storing them would cost a copy of the table.
+    parts = found.filter("file is not null").groupBy("file", "began")
+    whole = parts.agg(F.transform(F.array_sort(F.collect_list(F.struct("block", "value"))), lambda p: p["value"]).alias("parts"))
+    whole = whole.select(F.rtrim(F.array_join("parts", "\n"), F.lit("\r")).alias("value"))
+    return found.filter("file is null").select("value").unionAll(whole)
+
+
+_PARTS = pa.schema([("value", pa.string()), ("file", pa.int64()), ("began", pa.int64()), ("block", pa.int64())])
+
+
 def _ddl(schema: T.StructType) -> str:
     return ", ".join(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in schema.fields)
 

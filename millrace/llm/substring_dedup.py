@@ -21,7 +21,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from itertools import compress, repeat
+from itertools import chain, compress, repeat
 
 import ahocorasick
 import numpy as np
@@ -166,6 +166,34 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, digest: bool = False)
     return out.select(F.col("doc_id").cast(kind), "n_words", "n_removed", F.col("rest").cast("string").alias("rest"))
 
 
+def _spans(codes: list[tuple], coded: list[tuple], window: int) -> list[list[tuple[int, int]]]:
+    """For each document the runs of at least `window` words whose neighbours all stand side by side in some passage too; no passage lies outside of them."""
+    size = max((max(c) for c in codes), default=0) + 1
+
+    def neighbours(lists: list[tuple]) -> tuple[np.ndarray, np.ndarray]:
+        flat = np.fromiter(chain.from_iterable(lists), np.int64, sum(map(len, lists)))
+        ends = np.cumsum([len(x) for x in lists])
+        pairs = flat[:-1] * size + flat[1:]
+        inside = np.ones(len(pairs), bool)
+        inside[ends[(ends > 0) & (ends <= len(pairs))] - 1] = False
+        return pairs, inside
+
+    pairs, inside = neighbours(codes)
+    known = np.unique(pairs[inside])
+    pairs, inside = neighbours(coded)
+    at = np.minimum(np.searchsorted(known, pairs), max(len(known) - 1, 0))
+    hit = np.zeros(len(pairs) + 2, bool)
+    hit[1:-1] = inside & (known[at] == pairs if len(known) else False)
+    turns = np.flatnonzero(hit[1:] != hit[:-1])
+    starts, ends = turns[::2], turns[1::2] + 1  # words, the end exclusive
+    long = ends - starts >= window
+    first = np.concatenate([[0], np.cumsum([len(x) for x in coded])])
+    out: list[list[tuple[int, int]]] = [[] for _ in coded]
+    for a, b, row in zip(starts[long].tolist(), ends[long].tolist(), (np.searchsorted(first, starts[long], "right") - 1).tolist()):
+        out[row].append((a - int(first[row]), b - int(first[row])))
+    return out
+
+
 def _stream(documents: pa.Table, phrases: pa.Table, window: int, digest: bool) -> pa.Table:
     """All documents of a bucket through the automata of its passages."""
     numbers: dict[bytes, int] = {}
@@ -176,24 +204,23 @@ def _stream(documents: pa.Table, phrases: pa.Table, window: int, digest: bool) -
     coded = [tuple(map(numbers.get, words, repeat(0))) for words in texts] if codes else [()] * len(texts)
     kept: list[bytearray | None] = [None] * len(texts)
     nothing = bytes(max(map(len, codes), default=0))
+    spans = _spans(codes, coded, window) if codes else []
     for low in range(0, len(codes), PHRASES):
         automaton = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
         for code, own in zip(codes[low : low + PHRASES], owners[low : low + PHRASES]):
             automaton.add_word(code, (len(code), own))
         automaton.make_automaton()
-        for row, (doc_id, code) in enumerate(zip(ids, coded)):
-            if doc_id is None or len(code) < window:
-                continue
-            mark = kept[row]
-            for last, (length, own) in automaton.iter(code):
-                first = last + 1 - length
-                spans = ((first, length),) if len(own) == 1 else [(first + k, window) for k, o in enumerate(own) if o < doc_id]
+        for row, start, end in ((row, *span) for row, own in enumerate(spans) if ids[row] is not None for span in own):
+            doc_id, mark = ids[row], kept[row]
+            for last, (length, own) in automaton.iter(coded[row][start:end]):
+                first = start + last + 1 - length
+                gone = ((first, length),) if len(own) == 1 else [(first + k, window) for k, o in enumerate(own) if o < doc_id]
                 if len(own) == 1 and own[0] >= doc_id:
                     continue
                 if mark is None:
-                    mark = kept[row] = bytearray(b"\1") * len(code)
-                for start, size in spans:
-                    mark[start : start + size] = nothing[:size]
+                    mark = kept[row] = bytearray(b"\1") * len(coded[row])
+                for at, size in gone:
+                    mark[at : at + size] = nothing[:size]
     rest = [b" ".join(words if mark is None else compress(words, mark)) for words, mark in zip(texts, kept)]
     return pa.table(
         {

@@ -1,7 +1,8 @@
 """Licence scan: a trained paragraph classifier with an unknown class, confirmed by templates.
 
-Paragraphs (lines) are cut into windows of `WINDOW` words, each overlapping the one before by half, so a notice inside a long paragraph is
-not diluted. A window is a sparse set of hashed words and word pairs; softmax regression gives a probability for each licence family and for
+A paragraph ends where a line without words stands (blank, or comment marks alone); single line feeds do not end it, and marks such as `#`, `//`,
+`*` or `--` at the start of a line are no words, so wrapped and commented notices are read as one. Paragraphs are cut into windows of `WINDOW` words,
+each overlapping the one before by half, and so are their lines, so a notice inside a long paragraph is not diluted. A window is a sparse set of hashed words and word pairs; softmax regression gives a probability for each licence family and for
 "unknown". The model is trained here, in numpy, on notices of the templates below, whole and cut, with words dropped and with corpus words around
 them, against windows drawn from the corpus (at most `SAMPLE`, by a hash of the document) and shuffled licence words. Probabilities are calibrated by the
 temperature that fits a held-out fifth best. A prediction counts if its calibrated probability reaches `LEAST` and the window shares at least
@@ -10,11 +11,13 @@ temperature that fits a held-out fifth best. A prediction counts if its calibrat
 Only windows with at least one word pair of a template are scored: the others cannot be confirmed. One map over whole texts, no shuffle.
 
 Cases: null and empty texts have no findings. Overlapping windows of one family in a paragraph are one finding, the best by similarity, then
-probability, then place. A document that repeats gives its findings again. Other columns are not read. An empty table gives none.
+probability, then place; windows apart from each other are findings of their own. Of overlapping findings of different families the one
+that shares most word pairs with a template stays. A document that repeats gives its findings again. Other columns are not read. An empty table gives none.
 """
 
 from __future__ import annotations
 
+from bisect import bisect
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,45 +39,69 @@ TEMPLATES = {
     "AGPL": [
         "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License",
         "Licensed under the GNU Affero General Public License, version 3.",
+        "SPDX-License-Identifier: AGPL-3.0-only",
+        "SPDX-License-Identifier: AGPL-3.0-or-later",
     ],
     "Apache": [
         "Licensed under the Apache License, Version 2.0.",
         "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License.",
         "SPDX-License-Identifier: Apache-2.0",
+        "You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0",
+        "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS",
     ],
     "BSD": [
         "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
         "Licensed under the BSD 3-Clause License.",
         "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products",
+        "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file.",
+        "This software is provided by the copyright holders and contributors \"as is\" and any express or implied warranties",
+        "SPDX-License-Identifier: BSD-2-Clause",
+        "SPDX-License-Identifier: BSD-3-Clause",
     ],
     "CC-BY": [
         "Licensed under CC BY 4.0.",
         "This work is licensed under a Creative Commons Attribution 4.0 International License.",
+        "Except where otherwise noted, content on this site is licensed under a Creative Commons Attribution 4.0 International license.",
+        "SPDX-License-Identifier: CC-BY-4.0",
     ],
     "CC-BY-NC": [
         "Licensed under CC BY-NC 4.0.",
         "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.",
+        "SPDX-License-Identifier: CC-BY-NC-4.0",
     ],
     "CC-BY-SA": [
         "Licensed under CC BY-SA 4.0.",
         "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
+        "Text is available under the Creative Commons Attribution-ShareAlike License; additional terms may apply.",
+        "SPDX-License-Identifier: CC-BY-SA-4.0",
     ],
     "GPL": [
         "This work is licensed under the GNU General Public License, version 3.",
         "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation",
         "SPDX-License-Identifier: GPL-3.0-or-later",
+        "You should have received a copy of the GNU General Public License along with this program.",
+        "SPDX-License-Identifier: GPL-2.0-only",
+        "SPDX-License-Identifier: GPL-2.0-or-later",
+        "SPDX-License-Identifier: GPL-3.0-only",
     ],
     "LGPL": [
         "Licensed under the GNU Lesser General Public License, version 2.1.",
         "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License",
+        "You should have received a copy of the GNU Lesser General Public License along with this library.",
+        "SPDX-License-Identifier: LGPL-2.1-or-later",
+        "SPDX-License-Identifier: LGPL-3.0-or-later",
     ],
     "MIT": [
         "Released under the MIT License.",
         "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files",
         "SPDX-License-Identifier: MIT",
+        "Licensed under the MIT License.",
+        "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.",
     ],
     "MPL": [
         "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
+        "If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.",
+        "SPDX-License-Identifier: MPL-2.0",
     ],
     "all-rights-reserved": [
         "All rights reserved.",
@@ -83,10 +110,24 @@ TEMPLATES = {
     "public-domain": [
         "This is free and unencumbered software released into the public domain.",
         "To the extent possible under law, the author has waived all copyright and related rights under CC0 1.0.",
+        "This work has been dedicated to the public domain.",
+        "SPDX-License-Identifier: CC0-1.0",
+        "SPDX-License-Identifier: Unlicense",
     ],
 }
 
 
+def _windows(new: np.ndarray) -> np.ndarray:
+    """The windows of pieces of words, as start * (WINDOW + 1) + size; `new`: does a piece begin at this word?"""
+    n = len(new)
+    begin = np.flatnonzero(new)
+    size = np.diff(np.append(begin, n))
+    at = np.arange(n) - np.repeat(begin, size)
+    left = np.repeat(size, size) - at
+    starts = np.flatnonzero((at % (WINDOW // 2) == 0) & ((at == 0) | (left > WINDOW // 2)))
+    return starts * (WINDOW + 1) + np.minimum(left[starts], WINDOW)
+
+
 class Windows:
     """Windows of a slice of documents and their hashed words and word pairs."""
 
@@ -95,15 +136,13 @@ class Windows:
         n = len(tokens)
         lines = np.cumsum(tokens.data == 10)[tokens.starts] if n else np.zeros(0, np.int64)
         doc = tokens.docs
-        new = np.append(True, (lines[1:] != lines[:-1]) | (doc[1:] != doc[:-1])) if n else np.zeros(0, bool)
-        begin = np.flatnonzero(new)
-        size = np.diff(np.append(begin, n))
-        at = np.arange(n) - np.repeat(begin, size)
-        left = np.repeat(size, size) - at
+        other = doc[1:] != doc[:-1]
+        lone = _windows(np.append(True, (lines[1:] != lines[:-1]) | other)[:n])
+        new = np.append(True, (lines[1:] > lines[:-1] + 1) | other)[:n]
         self.paragraph_of_word = np.cumsum(new) - 1
-        half = WINDOW // 2
-        self.starts = np.flatnonzero((at % half == 0) & ((at == 0) | (left > half)))
-        self.ends = self.starts + np.minimum(left[self.starts], WINDOW)
+        both = np.unique(np.concatenate([lone, _windows(new)]))
+        self.starts = both // (WINDOW + 1)
+        self.ends = self.starts + both % (WINDOW + 1)
         self.docs, self.paragraphs = doc[self.starts], self.paragraph_of_word[self.starts]
         hashes = tokens.hashes()
         self.one = (hashes % np.uint64(BUCKETS)).astype(np.int64)
@@ -158,6 +197,10 @@ class Classifier:
         size = max(len(pairs), WINDOW // 2)
         return max((len(t & pairs) / min(len(t), size) for t in self.templates.get(family, [])), default=0.0)
 
+    def shared(self, family: str, pairs: set[tuple[str, str]]) -> int:
+        """The largest number of word pairs in common with a template of the family."""
+        return max((len(t & pairs) for t in self.templates.get(family, [])), default=0)
+
 
 def softmax(x: np.ndarray) -> np.ndarray:
     e = np.exp(x - x.max(axis=1, keepdims=True))
@@ -272,16 +315,35 @@ def findings(model: Classifier, column: pa.Array, least: float, confirm: float)
     p = model.probabilities(*found.features())
     best = p.argmax(axis=1)
     first = np.searchsorted(found.tokens.docs, np.arange(len(column)))
-    out: dict[tuple, tuple] = {}
+    runs: dict[tuple, list[list]] = {}
+    latest: dict[tuple, int] = {}
     for k in np.flatnonzero((best < len(model.families) - 1) & (p.max(axis=1) >= least)):
-        family = model.families[best[k]]
-        similar = model.confirmed(family, found.pairs(k))
+        family, pairs = model.families[best[k]], found.pairs(k)
+        similar = model.confirmed(family, pairs)
         if similar < confirm:
             continue
-        doc = int(found.docs[k])
+        doc, start, end = int(found.docs[k]), int(found.starts[k]), int(found.ends[k])
         number = int(found.paragraphs[k] - found.paragraph_of_word[first[doc]])
-        value = (round(similar, 9), float(p[k, best[k]]), -int(found.starts[k]))
-        key = (doc, number, family)
-        if key not in out or value > out[key][0]:
-            out[key] = (value, " ".join(found.texts(k)))
-    return [(doc, number, family, v[1], v[0], text) for (doc, number, family), (v, text) in sorted(out.items())]
+        value = (round(similar, 9), float(p[k, best[k]]), -start, int(k))
+        own = runs.setdefault((doc, number), [])
+        at = latest.get((doc, number, family))
+        if at is not None and start < own[at][2]:
+            _, begin, stop, most, had = own[at]
+            own[at] = [family, begin, max(stop, end), max(most, model.shared(family, pairs)), max(had, value)]
+        else:
+            latest[doc, number, family] = len(own)
+            own.append([family, start, end, model.shared(family, pairs), value])
+    out = []
+    for (doc, number), own in sorted(runs.items()):
+        out += [(doc, number, family, v[1], v[0], " ".join(found.texts(v[3]))) for family, *_, v in sorted(_apart(own), key=lambda r: (r[0], r[1]))]
+    return out
+
+
+def _apart(runs: list[list]) -> list[list]:
+    """Of overlapping runs of different families those that share most word pairs with a template: a line may stand in the notices of several."""
+    kept: list[list] = []
+    for run in sorted(runs, key=lambda r: (-r[3], r[1], r[0])):
+        at = bisect(kept, run[1], key=lambda r: r[1])
+        if (at == 0 or kept[at - 1][2] <= run[1]) and (at == len(kept) or run[2] <= kept[at][1]):
+            kept.insert(at, run)
+    return kept

@@ -118,14 +118,36 @@ def test_licences(spark):
     for family, text in texts.items():
         want = {r.doc_id for r in docs.filter(F.lower("text").contains(text.lower())).collect()}
         assert {r.doc_id for r in found if r.family == family} == want
-    data = [(1, "He lost his driving license and all his rights"), (2, None), (3, ""), (4, "Of " * 500), (5, "All rights\nreserved")]
+    data = [(1, "He lost his driving license and all his rights"), (2, None), (3, ""), (4, "Of " * 500), (5, "All rights\nreserved"), (7, "All rights\n\nreserved")]
     data += [(6, words(__import__("random").Random(1), 50) + " Licensed under the Apache License, Version 2.0. " + "so " * 40)] * 2
     own = licences.scan_licences(spark.createDataFrame(data, "doc_id long, text string")).collect()
-    assert [(r.doc_id, r.family) for r in own] == [(6, "Apache")] * 2
+    assert sorted((r.doc_id, r.family) for r in own) == [(5, "all-rights-reserved"), (6, "Apache"), (6, "Apache")]
     assert licences.scan_licences(frame(spark)).count() == 0
     assert licences.scan_licences(empty(spark)).count() == 0
 
 
+def test_wrapped_and_commented_notices(spark):
+    notices = {
+        "Apache": "Licensed under the Apache License,\nVersion 2.0.",
+        "MIT": "Permission is hereby granted, free of charge, to any\nperson obtaining a copy of this software and\nassociated documentation files",
+        "CC-BY": "This work is licensed under a Creative Commons\nAttribution 4.0 International License.",
+        "BSD": "Licensed under the\nBSD 3-Clause License.",
+        "GPL": "This program is free software; you can redistribute it and/or modify\nit under the terms of the GNU General Public License as published\nby the Free Software Foundation",
+        "MPL": "This Source Code Form is subject to the terms\nof the Mozilla Public License, v. 2.0.",
+    }
+    data, want = [], []
+    for family, notice in notices.items():
+        for mark in ("", "# ", "// ", " * ", "-- "):
+            want.append((len(data), family))
+            data.append((len(data), "\n".join(mark + line for line in notice.split("\n")) + f"\n{mark.strip()}\nimport os\n"))
+    twice = notices["MPL"] + "\n" + "one two three four five six seven " * 12 + "\n" + notices["MPL"]
+    data.append((len(data), twice))
+    docs = spark.createDataFrame(data, "doc_id long, text string")
+    found = licences.scan_licences(docs).collect()
+    assert sorted((r.doc_id, r.family) for r in found) == [*want, *[(len(want), "MPL")] * 2]
+    assert all(r.paragraph == 0 for r in found)
+
+
 BASE = {
     "email": re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"),
     "ip": re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"),

@@ -10,10 +10,11 @@ costs one pass over the terms: half of (sum v)^2 - sum v^2.
 Terms are learned from a bounded sample of labelled documents drawn by a hash of doc_id, at most `SAMPLE` per class, and weighted to the
 classes' shares of all training rows, so scores do not follow the size of the table; a term must be in
 `LEAST` of them, else it is dropped, so that single documents are not learned by heart. Only hashed terms of the sample pass the
-driver. Scoring is one map over all whole texts; a document's terms are gathered for a slice of documents at a time.
+driver, each different text of a doc_id once, at most twice `SAMPLE` rows. A term keeps a weight if its toxic share differs from the mean, or if it is
+in a pair whose documents differ from what such terms alone predict (`terms_of_pairs`), so a pair is learned also where its parts have no effect of their own. Scoring is one map over all whole texts; a document's terms are gathered for a slice of documents at a time.
 
 Cases: a null or empty text has no terms and gets the logistic of the bias, like any text of unknown terms. A document labelled twice
-counts twice; null labels are left out. With no labels, or one class only, that class's share is everyone's score. Rows that repeat a document
+with the same label counts once in learning; null labels are left out. With no labels, or one class only, that class's share is everyone's score. Rows that repeat a document
 each get the same answer. Other columns are not read. An empty table gives an empty result.
 """
 
@@ -36,6 +37,9 @@ BEGINNINGS = (4, 5)
 SAMPLE, LEAST = 12_000, 5
 #: Standard deviations by which a term's toxic share must differ from that of all documents.
 DEVIATION = 4.0
+#: The other way in, for terms without an effect of their own: standard deviations by which a pair of terms must differ from what a machine
+#: of the terms above gives, the documents such a pair must be in, and how many of the most evenly spread terms are paired.
+PAIR_DEVIATION, PAIR_LEAST, PAIRED = 6.0, 40, 3000
 EPOCHS, BATCH, RATE, DECAY = 20, 256, 0.4, 5e-5
 #: Where `predicted` turns 1.
 THRESHOLD = 0.7
@@ -80,7 +84,7 @@ class FactorizationMachine:
 
 def train(term: np.ndarray, first: np.ndarray, label: np.ndarray, weight: np.ndarray | None = None, seed: int = 11) -> FactorizationMachine:
     """Adagrad on the log loss over batches, each document with its weight; terms in fewer than LEAST documents keep weight 0."""
-    n, rng = len(label), np.random.default_rng(seed)
+    n = len(label)
     weight = np.ones(n) if weight is None else weight
     share = float(np.clip(np.average(label, weights=weight), 1e-3, 1 - 1e-3)) if n else 0.5
     machine = FactorizationMachine(np.log(share / (1 - share)), np.zeros(BUCKETS, np.float32), np.zeros((FACTORS, BUCKETS), np.float32))
@@ -89,6 +93,49 @@ def train(term: np.ndarray, first: np.ndarray, label: np.ndarray, weight: np.nda
     doc = np.repeat(np.arange(n), np.diff(first))
     times, excess = np.bincount(term, minlength=BUCKETS), weight * (label - share)
     used = (times >= LEAST) & (np.abs(np.bincount(term, excess[doc], BUCKETS)) >= DEVIATION * np.sqrt(times * np.mean(excess**2)))
+    _fit(machine, used, term, first, label, weight, seed)
+    paired = used | terms_of_pairs(term, first, times, weight, label, machine.score(term, first))
+    if (paired > used).any():
+        machine = FactorizationMachine(np.log(share / (1 - share)), np.zeros(BUCKETS, np.float32), np.zeros((FACTORS, BUCKETS), np.float32))
+        _fit(machine, paired, term, first, label, weight, seed)
+    return machine
+
+
+def terms_of_pairs(
+    term: np.ndarray, first: np.ndarray, times: np.ndarray, weight: np.ndarray, label: np.ndarray, score: np.ndarray
+) -> np.ndarray:
+    """Which terms are in a pair whose documents are more, or less, toxic than `score` says by PAIR_DEVIATION.
+
+    Pairs are counted by products of the matrix of documents and terms, a block of documents at a time.
+    """
+    n, found = len(first) - 1, np.zeros(BUCKETS, bool)
+    chosen = np.flatnonzero((times >= PAIR_LEAST) & (times < n))
+    chosen = chosen[np.argsort(-(times[chosen] * (n - times[chosen])), kind="stable")[:PAIRED]]
+    column = np.full(BUCKETS, -1)
+    column[chosen] = np.arange(len(chosen))
+    rest = (weight * (label - score)).astype(np.float32)
+    spread = np.maximum(rest**2, weight**2 * score * (1 - score)).astype(np.float32)
+    sums, spreads, both = (np.zeros((len(chosen), len(chosen)), np.float32) for _ in range(3))
+    for k in range(0, n, 2048):
+        to = min(k + 2048, n)
+        part = column[term[first[k] : first[to]]]
+        row = np.repeat(np.arange(to - k), np.diff(first[k : to + 1]))
+        x = np.zeros((to - k, len(chosen)), np.float32)
+        x[row[part >= 0], part[part >= 0]] = 1
+        sums += x.T @ (x * rest[k:to, None])
+        spreads += x.T @ (x * spread[k:to, None])
+        both += x.T @ x
+    for a in range(0, len(chosen), 256):
+        away = np.abs(sums[a : a + 256]) >= PAIR_DEVIATION * np.sqrt(spreads[a : a + 256])
+        away &= (both[a : a + 256] >= PAIR_LEAST) & (spreads[a : a + 256] > 0)
+        away[np.arange(len(away)), np.arange(a, a + len(away))] = False
+        found[chosen[a : a + 256][away.any(axis=1)]] = True
+    return found
+
+
+def _fit(machine: FactorizationMachine, used: np.ndarray, term: np.ndarray, first: np.ndarray, label: np.ndarray, weight: np.ndarray, seed: int) -> None:
+    """Learn weights of the terms `used`."""
+    n, rng = len(label), np.random.default_rng(seed)
     before = np.concatenate([[0], np.cumsum(used[term])])
     term, first = term[used[term]], before[first]
     machine.v[:, used] = rng.normal(0, 0.01, (FACTORS, int(used.sum()))).astype(np.float32)
@@ -113,7 +160,6 @@ def train(term: np.ndarray, first: np.ndarray, label: np.ndarray, weight: np.nda
                 machine.v[f][uniq] -= 0.2 * RATE * g / np.sqrt(seen_v[f][uniq])
             seen_b += float(slope.sum()) ** 2
             machine.bias -= np.float32(RATE * slope.sum() / np.sqrt(seen_b))
-    return machine
 
 
 def _with_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -139,7 +185,8 @@ def sample(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, np.ndarray,
     yes, no = (sampled(marks.filter(f"toxic = {k}"), SAMPLE, F.col("doc_id")) for k in (1, 0))
     chosen = yes.unionByName(no)
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("toxic", "o", "text")
-    table = rows.mapInArrow(_with_terms, "toxic int, o long, terms array<int>").toArrow().combine_chunks()
+    found = rows.mapInArrow(_with_terms, "toxic int, o long, terms array<int>").dropDuplicates()
+    table = found.orderBy(F.xxhash64("o", "terms"), "toxic").limit(2 * SAMPLE).toArrow().combine_chunks()
     table = table.sort_by([("o", "ascending"), ("toxic", "ascending")])
     lists = table["terms"].combine_chunks()
     sizes = lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64) if len(lists) else np.zeros(0, np.int64)

@@ -16,6 +16,7 @@ the first language in alphabetical order. Rows that repeat a document each get t
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,13 +24,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .stages import sampled
 from .words import _SPACE, slices, text_bytes
 
 #: Bytes per strip when predicting and when training, hidden units per direction.
 STRIP, STRIP_TRAIN, UNITS = 64, 64, 8
 #: Strips in the training sample at most, training steps, strips per step.
 SAMPLE, STEPS, BATCH = 6000, 250, 128
+#: Strips that a language has at least, if it has so many documents; languages learned at most, the most frequent ones.
+SCARCE, LANGUAGES = 200, 1000
 #: Strips that are handled at a time: states fit a core's cache.
 ROWS = 2048
 UNKNOWN = "und"
@@ -162,18 +164,39 @@ def train(strips: np.ndarray, wanted: np.ndarray, languages: list[str], steps: i
 
 
 def sample(docs: DataFrame, strips: int = SAMPLE) -> tuple[np.ndarray, np.ndarray, list[str]]:
-    """Strips of training documents, language numbers, languages."""
-    usable = docs.filter(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").isNotNull())
+    """Strips of training documents, language numbers, languages.
+
+    Languages are counted over all training rows. The strips are those of the `strips` smallest hashes; a language with fewer than `SCARCE` of them gets
+    more of its own, so that none is missing because others are frequent.
+    """
+    usable = docs.filter(~held_out(F.col("doc_id")) & (F.col("lang") != UNKNOWN) & F.col("text").isNotNull())
+    counts = usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
+    if not counts:
+        return np.zeros((0, STRIP_TRAIN), np.uint8), np.zeros(0, np.int64), []
     place = F.pmod(F.xxhash64(F.col("doc_id"), F.lit(2)), F.greatest(F.length("text") - STRIP_TRAIN, F.lit(1)))
     cut = F.substring("text", place.cast("int") + 1, F.lit(STRIP_TRAIN))
-    rows = sampled(usable.select("doc_id", "lang", cut.alias("cut")), strips, F.col("doc_id"), F.lit(1)).collect()
-    rows = [(r.lang, r.cut.encode()[:STRIP_TRAIN]) for r in rows if r.cut]
-    languages = sorted({lang for lang, _ in rows} - {UNKNOWN})
-    rows = [(lang, cut) for lang, cut in rows if lang != UNKNOWN]
-    data = np.zeros((len(rows), STRIP_TRAIN), np.uint8)
-    for k, (_, cut) in enumerate(rows):
-        data[k, : len(cut)] = small_letters(np.frombuffer(cut, np.uint8))
-    return data, np.array([languages.index(lang) for lang, _ in rows], np.int64), languages
+    order = F.xxhash64(F.col("doc_id"), F.lit(1))
+    # some half more rows than are needed, by a share of the hash range, so that the driver gets a bounded number
+    everyone = (1.5 * strips + 50) / sum(r["count"] for r in counts)
+    shares = [(r.lang, int((1 << 30) * min(1.0, max(everyone, (1.5 * SCARCE + 50) / r["count"])))) for r in counts]
+    border = docs.sparkSession.createDataFrame(shares, "lang string, border long")
+    drawn = usable.select("doc_id", "lang", cut.alias("cut"), order.alias("o")).join(F.broadcast(border), "lang")
+    drawn = drawn.filter(F.pmod("o", F.lit(1 << 30)) <= F.col("border")).select("o", "doc_id", "lang", "cut")
+    # a doc_id that repeats has one hash: its rows count once each text, and at most so many rows leave the executors
+    drawn = drawn.dropDuplicates().orderBy("o", "doc_id", "lang", "cut").limit(2 * (strips + SCARCE * len(counts)) + 100 * len(counts))
+    rows = [(r.lang, r.cut.encode()[:STRIP_TRAIN], r.o) for r in drawn.collect() if r.cut]
+    common = int((1 << 30) * min(1.0, everyone))
+    first = [r for r in rows if r[2] % (1 << 30) <= common][:strips]
+    have, taken = Counter(r[0] for r in first), Counter()
+    for lang, data, o in rows:
+        taken[lang] += 1
+        if taken[lang] > have[lang] and have[lang] < SCARCE and taken[lang] <= SCARCE:
+            first.append((lang, data, o))
+    languages = sorted({r[0] for r in first})
+    data = np.zeros((len(first), STRIP_TRAIN), np.uint8)
+    for k, (_, piece, _) in enumerate(first):
+        data[k, : len(piece)] = small_letters(np.frombuffer(piece, np.uint8))
+    return data, np.array([languages.index(r[0]) for r in first], np.int64), languages
 
 
 def strips_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -189,6 +212,11 @@ def strips_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return out.reshape(-1, STRIP), first
 
 
+def has_letter(text: str | None) -> bool:
+    """Is there a letter? Digits such as a raised two are none."""
+    return any(m.group().isalpha() for m in _LETTER.finditer(text or ""))
+
+
 def predict(batch: pa.RecordBatch, net: Network) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
     """Language, score, letters and letters labelled so, per document of a slice."""
     column = batch.column("text")
@@ -199,7 +227,7 @@ def predict(batch: pa.RecordBatch, net: Network) -> tuple[list[str], np.ndarray,
         sums[k + 1 : k + 1 + ROWS], votes[k + 1 : k + 1 + ROWS] = net.label(strips[k : k + ROWS])
     total = np.cumsum(sums, axis=0)
     total, voted = total[first[1:]] - total[first[:-1]], np.diff(np.cumsum(votes, axis=0)[first], axis=0)
-    has = np.array([bool(x and _LETTER.search(x)) for x in column.to_pylist()], bool) & (total.sum(axis=1) > 0)
+    has = np.array([has_letter(x) for x in column.to_pylist()], bool) & (total.sum(axis=1) > 0)
     best = total.argmax(axis=1) if n else np.zeros(len(total), int)
     each = np.arange(len(total))
     letters = total.sum(axis=1)
@@ -241,7 +269,10 @@ def visible_bytes(column: pa.Array) -> np.ndarray:
 
 
 def keep_identified(docs: DataFrame, least: float = 0.0, labelled: DataFrame | None = None, share: float = 0.0) -> DataFrame:
-    """The documents with a language (not `und`), a score of at least `least` and at least `share` of their visible bytes labelled so, all columns as they were."""
+    """The documents with a language (not `und`), a score of at least `least` and at least `share` of their visible bytes labelled so, all columns as they were.
+
+    Without any labelled row nothing is learned, and only documents without letters go.
+    """
     data, wanted, languages = sample(docs if labelled is None else labelled)
     net = train(data, wanted, languages) if languages else None
 
@@ -252,5 +283,7 @@ def keep_identified(docs: DataFrame, least: float = 0.0, labelled: DataFrame | N
                     names, score, _, labelled_bytes = predict(piece, net)
                     enough = (score >= least) & (labelled_bytes >= share * visible_bytes(piece.column("text")))
                     yield piece.filter(pa.array([n != UNKNOWN and bool(e) for n, e in zip(names, enough)], pa.bool_()))
+                else:
+                    yield piece.filter(pa.array([has_letter(x) for x in piece.column("text").to_pylist()], pa.bool_()))
 
     return docs.mapInArrow(keep, docs.schema)

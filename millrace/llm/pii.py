@@ -1,22 +1,24 @@
 """Personal data by base patterns and bootstrapped contexts.
 
 Base spans (email, ip, card, phone) are fixed patterns. They also seed a bootstrap that finds identifiers of other shapes in the contexts in
-which personal data stands:
-
-1. Every seed induces lexical patterns: the two words before it, the word before it, the word before with the word after.
-   A pattern is kept if at least a `SUPPORT` share of the seeds of its kind (and three) show it, so there are at most 3 / SUPPORT per kind
-   however large the corpus is.
-2. All occurrences of these contexts are counted over the corpus. A pattern whose slot holds a seed in less than `FLOOR` of its occurrences
-   cannot become reliable and goes.
-3. The slots of the others give a graph of patterns and instances. Spark scores it in rounds: a pattern is worth the mean score of what fills its slot, ordinary
-   words counting 0; an instance is worth 1 minus the product of (1 - score) over its patterns, a seed 1.
-4. Patterns of at least `CONFIDENT` find identifier-like fillers (a run of words with digits, or a word with @ or a digit) as spans
-   of kind "<kind>_context" wherever they stand, unless a base span overlaps.
-
-Edges are pre-aggregated per task and per (pattern, instance); patterns are the small side of every join by the bound of step 1.
-
-Cases: a null text is empty. Places are code points, ends are exclusive. No seeds, or no reliable pattern: base spans only. Rows that repeat a
-document each get the same spans. Other columns are not read. An empty table gives an empty result.
+which personal data stands. Every word is a slot; what fills it is the base span that begins there, or else the run of at most `RUN` words with
+digits from there on, or the word alone. A slot has three contexts, the lexical patterns: the two words before the filler, the word before it, the word before
+with the word after.
+
+1. Contexts that `LEAST_SEEDS` different seeds of one kind fill are patterns, whatever their share; a pattern has the kind of which most seeds fill it.
+2. One pass over the corpus counts what fills the slots of all patterns: the graph of patterns and instances, ordinary words as one instance.
+3. Spark scores the graph in rounds: a pattern is worth the mean of what fills its slot, ordinary words counting 0; an instance is worth
+   1 minus the product of (1 - score) over its patterns, a seed 1.
+4. Patterns of at least `CONFIDENT` find identifier-like fillers (with a digit, or an @ inside, and four characters) as spans of kind "<kind>_context" wherever they
+   stand, unless a base span or a span before them overlaps. Of the patterns of a filler the best counts.
+
+Patterns, graph and scores are Spark tables of any size. Tasks get a bitmap of at most `BITS` bits of the contexts sought, so that
+few others leave the task; the join behind it is exact. With more than some 10 million patterns the bitmap lets more through, which costs time only.
+Score tables of up to `FEW` rows (counted) are broadcast, larger ones joined by a shuffle. Edges are pre-aggregated per slice and per (pattern, instance).
+
+Cases: a null text is empty. Places are code points, ends are exclusive. No seeds, or no reliable pattern: base spans only. Of base spans that share
+words the first, of those that begin in one word the longest is a seed. Rows that repeat a document each get the same spans and count each
+in the graph. Other columns are not read. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -35,7 +37,9 @@ from .stages import stored
 from .words import Words, mix, slices, window_hashes
 
 BASE = ("email", "ip", "card", "phone")
-SUPPORT, LEAST_SEEDS, FLOOR, CONFIDENT, ROUNDS = 1 / 500, 3, 0.1, 0.5, 3
+LEAST_SEEDS, CONFIDENT, ROUNDS, RUN = 3, 0.5, 3, 8
+#: Bounds of what is sent to every task: bits of a bitmap of contexts (16 MB), rows of a score table.
+BITS, FEW = 1 << 27, 1_000_000
 
 _LOCAL = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -85,13 +89,6 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return out
 
 
-def _spot(data: bytes, text: str, places: list[int]) -> list[int]:
-    """Byte places of code points (or the same numbers for ASCII)."""
-    if len(data) == len(text):
-        return places
-    return [len(text[:p].encode()) for p in places]
-
-
 class Slots:
     """Words of a slice with the context keys of each word as a slot filler; 0 where there is no such context."""
 
@@ -115,23 +112,42 @@ class Slots:
         both[(self.left1[first] == 0) | (follow == 0)] = 0
         return np.stack([self.left2[first], self.left1[first], both], axis=1)
 
-
-def _seed_words(slots: Slots, row: int, text: str, found: list[tuple[int, int, int]]) -> list[tuple[int, int, int, str]]:
-    """(kind, first word, last word, value) of base spans that begin and end with words (marks aside)."""
-    words, data = slots.words, text.encode()
-    places = _spot(data, text, [p for _, a, b in found for p in (a, b - 1)])
-    base = int(words.at[row])
-    low, high = int(words.first[row]), int(words.first[row + 1])
-    out = []
-    for (kind, a, b), first, last in zip(found, places[::2], places[1::2]):
-        i = low + int(np.searchsorted(words.starts[low:high], first + base, "right")) - 1
-        j = low + int(np.searchsorted(words.starts[low:high], last + base, "right")) - 1
-        out.append((kind, i, j, text[a:b].lower()))
-    return out
+    def fill(self, texts: list[str | None], base: list[list[tuple[int, int, int]]]) -> None:
+        """Sets what fills each slot: `last` word, `seeds` {first word: (kind, value)}, `free` (no word inside a seed)."""
+        words, n = self.words, len(self.words)
+        self.seeds: dict[int, tuple[int, str]] = {}
+        self.free, begins, ends = np.ones(n, bool), np.zeros(n, bool), {}
+        for row, found in enumerate(base):
+            best: dict[int, tuple[int, int, int, int]] = {}
+            if found:
+                points, low, high = self.points(row), int(words.first[row]), int(words.first[row + 1])
+                places = np.array([(a, b - 1) for _, a, b in found])
+                at = low - 1 + np.searchsorted(words.starts[low:high], points[places] + words.at[row], "right")
+                for (kind, a, b), (i, j) in zip(found, at.tolist()):
+                    if i not in best or b - a > best[i][2] - best[i][1]:
+                        best[i] = (kind, a, b, j)
+            for i in sorted(best):
+                kind, a, b, j = best[i]
+                if self.free[i]:
+                    self.seeds[i], ends[i], begins[i] = (kind, texts[row][a:b].lower()), j, True
+                    self.free[i + 1 : j + 1] = False
+        digits = np.cumsum(np.append(0, (words.data >= 48) & (words.data <= 57)))
+        ats = np.cumsum(np.append(0, words.data == 64))
+        has = digits[words.ends] > digits[words.starts]
+        on = has & (self.after > 0) & np.append(has[1:] & ~begins[1:], False)[:n]
+        stop = np.where(on, n, np.arange(n))
+        self.last = np.minimum(np.minimum.accumulate(stop[::-1])[::-1], np.arange(n) + RUN - 1)
+        self.last[np.array(list(ends), np.int64)] = list(ends.values())
+        self.like = has | (ats[words.ends] > ats[words.starts]) | begins
+
+    def points(self, row: int) -> np.ndarray:
+        """Byte places of the code points of a document."""
+        own = self.words.data[self.words.at[row] : self.words.at[row + 1]]
+        return np.flatnonzero((own & 0xC0) != 0x80)
 
 
 def _value(text: str) -> int:
-    return int.from_bytes(hashlib.blake2b(text.encode(), digest_size=8).digest(), "little", signed=True)
+    return int.from_bytes(hashlib.blake2b(text.encode(), digest_size=8).digest(), "little", signed=True) or 1
 
 
 def _rows(counts: Counter, names: list[str]) -> pa.RecordBatch:
@@ -140,57 +156,42 @@ def _rows(counts: Counter, names: list[str]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([*columns, pa.array(list(counts.values()), pa.int64())], names)
 
 
+def _read(piece: pa.RecordBatch) -> tuple[list[str | None], list[list[tuple[int, int, int]]]]:
+    texts = piece.column("text").to_pylist()
+    return texts, [base_spans(x) if x else [] for x in texts]
+
+
 def _seed_contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(kind, context, instance, n): contexts of seeds; context 0 counts the seeds themselves."""
+    """(context, kind, instance, n) of seeds."""
     for batch in batches:
         for piece in slices(batch):
             counts: Counter = Counter()
-            texts = piece.column("text").to_pylist()
-            spans = [(row, base_spans(x)) for row, x in enumerate(texts) if x]
-            if any(s for _, s in spans):
+            texts, base = _read(piece)
+            if any(base):
                 slots = Slots(piece.column("text"))
-                for row, found in spans:
-                    for kind, first, last, value in _seed_words(slots, row, texts[row], found) if found else ():
-                        keys = slots.keys(np.array([first]), np.array([last]))[0].view(np.int64).tolist()
-                        for key in (0, *(k for k in keys if k)):
-                            counts[kind, key, _value(value)] += 1
-            yield _rows(counts, ["kind", "context", "instance", "n"])
-
-
-class Patterns:
-    """Contexts to look for, sorted, with kind and score."""
-
-    def __init__(self, rows: list[tuple[int, int, float]]):
-        rows = sorted(rows, key=lambda r: (r[0] % 2**64, r[1]))
-        self.context = np.array([r[0] % 2**64 for r in rows], np.uint64)
-        self.kind, self.score = [r[1] for r in rows], [r[2] for r in rows]
-        self.unique, self.first = np.unique(self.context, return_index=True)
-
-    def match(self, keys: np.ndarray) -> np.ndarray:
-        """For each key the first pattern with it, or -1."""
-        at = np.minimum(np.searchsorted(self.unique, keys), len(self.unique) - 1)
-        return np.where(self.unique[at] == keys, self.first[at], -1)
-
-    def of(self, number: int) -> list[int]:
-        """All patterns (kinds) with the context of this one."""
-        out = [number]
-        while out[-1] + 1 < len(self.kind) and self.context[out[-1] + 1] == self.context[number]:
-            out.append(out[-1] + 1)
-        return out
+                slots.fill(texts, base)
+                at = np.array(list(slots.seeds))
+                for keys, (kind, value) in zip(slots.keys(at, slots.last[at]).view(np.int64).tolist(), slots.seeds.values()):
+                    for key in keys:
+                        if key:
+                            counts[key, kind, _value(value)] += 1
+            yield _rows(counts, ["context", "kind", "instance", "n"])
+
 
+class Sought:
+    """A bitmap of contexts by their first bits: no context of the table is missed, few others pass."""
 
-def _fillers(slots: Slots, patterns: Patterns) -> Iterator[tuple[int, int, list[int]]]:
-    """(first word, last word, patterns) of every slot that a pattern matches; a run of words with digits fills a slot together."""
-    words, n = slots.words, len(slots.words)
-    if not n:
-        return
-    digit = np.cumsum(np.append(0, (words.data >= 48) & (words.data <= 57)))
-    has = digit[words.ends] > digit[words.starts]
-    stop = np.where(has & (slots.after > 0) & np.append(has[1:], False), n, np.arange(n))
-    last = np.minimum.accumulate(stop[::-1])[::-1]
-    matched = patterns.match(slots.keys(np.arange(n), last))
-    for word in np.flatnonzero((matched >= 0).any(axis=1)):
-        yield int(word), int(last[word]), [q for p in matched[word] if p >= 0 for q in patterns.of(int(p))]
+    def __init__(self, contexts: DataFrame, rows: int):
+        self.width = min(max(rows * 16, 1 << 16).bit_length(), BITS.bit_length() - 1)
+        bit = f"shiftrightunsigned(context, {64 - self.width})"
+        cells = contexts.selectExpr(f"shiftrightunsigned({bit}, 6) AS cell", f"shiftleft(1L, cast({bit} & 63 AS int)) AS bits")
+        cells = cells.groupBy("cell").agg(F.bit_or("bits").alias("bits")).toArrow()  # at most BITS / 64 rows
+        self.bits = np.zeros(1 << (self.width - 6), np.uint64)
+        self.bits[cells["cell"].to_numpy()] = cells["bits"].to_numpy().view(np.uint64)
+
+    def among(self, keys: np.ndarray) -> np.ndarray:
+        bit = keys >> np.uint64(64 - self.width)
+        return ((self.bits[bit >> np.uint64(6)] >> (bit & np.uint64(63))) & np.uint64(1) > 0) & (keys != 0)
 
 
 def _filler_text(words: Words, first: int, last: int) -> tuple[int, int, str]:
@@ -206,123 +207,153 @@ def _identifier(text: str) -> bool:
     return len(text) >= 4 and bool(_SHAPE.fullmatch(text.split()[0] if text.split() else ""))
 
 
-def _graph(patterns: Patterns, totals_only: bool):
+def _graph(sought: Sought):
+    """(context, instance, seed, n): what fills the slots of contexts; instance 0 stands for all ordinary words."""
+
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for piece in slices(batch):
                 counts: Counter = Counter()
+                texts, base = _read(piece)
                 slots = Slots(piece.column("text"))
-                if totals_only:
-                    keys, last = slots.keys(np.arange(len(slots.words)), np.arange(len(slots.words))), None
-                    at = patterns.match(keys).ravel()
-                    for number, n in zip(*np.unique(at[at >= 0], return_counts=True)):
-                        for p in patterns.of(int(number)):
-                            counts[p, 0] += int(n)
-                else:
-                    for first, last, matched in _fillers(slots, patterns):
-                        _, _, text = _filler_text(slots.words, first, last)
-                        if _identifier(text):
-                            for p in matched:
-                                counts[p, _value(text.lower())] += 1
-                yield _rows(counts, ["pattern", "instance", "n"])
+                slots.fill(texts, base)
+                keys = slots.keys(np.arange(len(slots.words)), slots.last)
+                hit = sought.among(keys) & slots.free[:, None]
+                plain, n = np.unique(keys[hit & ~slots.like[:, None]], return_counts=True)
+                for key, times in zip(plain.view(np.int64).tolist(), n.tolist()):
+                    counts[key, 0, 0] += times
+                some = np.flatnonzero(hit.any(axis=1) & slots.like)
+                for i, own, of in zip(some.tolist(), keys[some].view(np.int64).tolist(), hit[some].tolist()):
+                    seed = slots.seeds.get(i)
+                    text = seed[1] if seed else _filler_text(slots.words, i, int(slots.last[i]))[2]
+                    value = _value(text.lower()) if seed or _identifier(text) else 0
+                    for key, there in zip(own, of):
+                        if there:
+                            counts[key, value, int(seed is not None)] += 1
+                yield _rows(counts, ["context", "instance", "seed", "n"])
 
     return read
 
 
-def learn_patterns(docs: DataFrame) -> list[tuple[int, int, float]]:
-    """Reliable (context, kind, score)."""
+def _small(df: DataFrame, rows: int) -> DataFrame:
+    return F.broadcast(df) if rows <= FEW else df
+
+
+def learn_patterns(docs: DataFrame) -> DataFrame | None:
+    """The table of reliable patterns (context, kind, score), stored; none if no context is a pattern."""
     texts = docs.select("text").filter(F.col("text").isNotNull())
-    seeds = stored(
-        texts.mapInArrow(_seed_contexts, "kind long, context long, instance long, n long")
-        .groupBy("kind", "context", "instance")
-        .agg(F.sum("n").alias("n")),
-        "seed-contexts",
-    )
-    shown = seeds.groupBy("kind", "context").agg(F.count(F.lit(1)).alias("instances"), F.sum("n").alias("n"))
-    enough = shown.filter("context = 0").select("kind", F.greatest(F.col("instances") * SUPPORT, F.lit(LEAST_SEEDS)).alias("least"))
-    shown = shown.filter("context <> 0").join(F.broadcast(enough), "kind").filter("instances >= least")
-    rows = shown.select("context", "kind", "n").collect()  # at most 3 / SUPPORT per kind
+    seeds = texts.mapInArrow(_seed_contexts, "context long, kind long, instance long, n long").select("context", "kind", "instance").distinct()
+    shown = seeds.groupBy("context", "kind").agg(F.count(F.lit(1)).alias("seeds")).filter(F.col("seeds") >= LEAST_SEEDS)
+    shown = stored(shown.groupBy("context").agg((-F.max(F.struct("seeds", (-F.col("kind")).alias("late")))["late"]).alias("kind")), "contexts")
+    rows = shown.count()
     if not rows:
-        return []
-    patterns = Patterns([(r.context, r.kind, 0.0) for r in rows])
-    seen = {(r.context % 2**64, r.kind): r.n for r in rows}
-    counted = texts.mapInArrow(_graph(patterns, True), "pattern long, instance long, n long").groupBy("pattern").agg(F.sum("n").alias("n"))
-    totals = {r.pattern: r.n for r in counted.collect()}
-    kept = [
-        (int(patterns.context[p]), patterns.kind[p], n)
-        for p, n in totals.items()
-        if seen[int(patterns.context[p]), patterns.kind[p]] >= FLOOR * n
-    ]
-    return score_patterns(texts, seeds, kept) if kept else []
-
-
-def score_patterns(texts: DataFrame, seeds: DataFrame, kept: list[tuple[int, int, int]]) -> list[tuple[int, int, float]]:
-    """Rounds over the graph of patterns and the identifiers in their slots."""
-    spark = texts.sparkSession
-    patterns = Patterns([(context, kind, float(n)) for context, kind, n in kept])
-    edges = texts.mapInArrow(_graph(patterns, False), "pattern long, instance long, n long")
-    edges = stored(edges.groupBy("pattern", "instance").agg(F.sum("n").alias("n")), "graph")
-    known = seeds.filter("context = 0").select("instance").distinct().withColumn("seed", F.lit(1.0))
-    edges = stored(edges.join(known, "instance", "left"), "graph")
-    facts = [(p, max(patterns.score[p], 1.0)) for p in range(len(patterns.kind))]
-    scores = {p: 0.0 for p, _ in facts}
+        return None
+    graph = texts.mapInArrow(_graph(Sought(shown, rows)), "context long, instance long, seed long, n long")
+    graph = graph.groupBy("context", "instance").agg(F.max("seed").alias("seed"), F.sum("n").alias("n"))
+    graph = stored(graph.join(_small(shown.select("context"), rows), "context"), "graph")
+    scores = score_patterns(graph, rows)
+    return stored(scores.filter(F.col("score") >= CONFIDENT).join(shown, "context").select("context", "kind", "score"), "patterns")
+
+
+def score_patterns(graph: DataFrame, rows: int) -> DataFrame:
+    """(context, score) after some rounds over the graph of patterns and the identifiers in their slots."""
+    totals = stored(graph.groupBy("context").agg(F.sum("n").alias("total")), "totals")
+    edges = graph.filter(F.col("instance") != 0)
+    scores = totals.select("context", F.lit(0.0).alias("score"))
     for _ in range(ROUNDS):
-        given = spark.createDataFrame([(p, n, scores[p]) for p, n in facts], "pattern long, total double, score double")
-        joined = edges.join(F.broadcast(given), "pattern")
         doubt = F.exp(F.sum(F.log(F.greatest(1 - F.col("score"), F.lit(1e-9)))))
-        instances = joined.groupBy("instance").agg(F.coalesce(F.max("seed"), 1 - doubt).alias("worth"))
-        worth = joined.join(instances, "instance").groupBy("pattern", "total").agg(F.sum(F.col("n") * F.col("worth")).alias("s"))
-        scores |= {r.pattern: min(r.s / r.total, 1.0) for r in worth.collect()}  # one row per pattern
-    return [(int(patterns.context[p]), patterns.kind[p], s) for p, s in scores.items() if s >= CONFIDENT]
-
-
-def context_spans(column: pa.Array, texts: list[str | None], base: list, patterns: Patterns) -> list[list[tuple[int, int, int]]]:
-    """Spans of identifier-like fillers of reliable patterns, kinds counted on from the base ones."""
-    slots = Slots(column)
-    words, docs = slots.words, slots.words.docs
-    out: list[list[tuple[int, int, int]]] = [[] for _ in texts]
-    for first, last, matched in _fillers(slots, patterns):
-        low, high, text = _filler_text(words, first, last)
-        if not _identifier(text):
-            continue
-        row = int(docs[first])
-        own = (texts[row] or "").encode()
-        start = len(own[: low - int(words.at[row])].decode())
-        end = start + len(own[low - int(words.at[row]) : high - int(words.at[row])].decode())
-        if any(a < end and start < b for _, a, b in (*base[row], *out[row])):
-            continue
-        best = max(matched, key=lambda p: (patterns.score[p], -patterns.kind[p]))
-        out[row].append((len(BASE) + patterns.kind[best], start, end))
-    return [sorted(x) for x in out]
+        worth = F.when(F.max("seed") > 0, 1.0).otherwise(1 - doubt).alias("worth")
+        instances = edges.join(_small(scores, rows), "context").groupBy("instance").agg(worth).filter(F.col("worth") > 0)
+        sums = edges.join(instances.hint("merge"), "instance").groupBy("context").agg(F.sum(F.col("n") * F.col("worth")).alias("s"))
+        scores = totals.join(_small(sums, rows), "context", "left")
+        scores = stored(scores.select("context", F.round(F.coalesce(F.col("s"), F.lit(0.0)) / F.col("total"), 9).alias("score")), "scores")
+    return scores
 
 
 KINDS = (*BASE, *(f"{kind}_context" for kind in BASE))
+_NEAR = "array<struct<first:long,stop:long,contexts:array<long>>>"
+_NEAR_ARROW = pa.list_(pa.struct([("first", pa.int64()), ("stop", pa.int64()), ("contexts", pa.list_(pa.int64()))]))
 
 
 def _joined(spans: list[tuple[int, int, int]]) -> str:
     return ",".join(f"{KINDS[k]}:{a}:{b}" for k, a, b in spans)
 
 
-def find_personal_data(docs: DataFrame) -> DataFrame:
-    """doc_id, counts of base spans, base_sha256, spans, n_context of every document."""
-    rows = learn_patterns(docs)
-    patterns = Patterns(rows) if rows else None
+def near_contexts(column: pa.Array, texts: list[str | None], base: list[list[tuple[int, int, int]]], sought: Sought) -> list[list[dict]]:
+    """Per document the identifier-like fillers outside base spans that have a context among those sought, with these contexts."""
+    slots = Slots(column)
+    slots.fill(texts, base)
+    words, docs = slots.words, slots.words.docs
+    keys = slots.keys(np.arange(len(words)), slots.last)
+    hit = sought.among(keys) & (slots.free & slots.like)[:, None]
+    out: list[list[dict]] = [[] for _ in texts]
+    now, points, taken = -1, None, None
+    for i in np.flatnonzero(hit.any(axis=1)).tolist():
+        low, high, text = _filler_text(words, i, int(slots.last[i]))
+        if i in slots.seeds or not _identifier(text):
+            continue
+        if docs[i] != now:
+            now = int(docs[i])
+            points = slots.points(now)
+            order = sorted((a, b) for _, a, b in base[now])
+            taken = np.array([a for a, _ in order]), np.maximum.accumulate([b for _, b in order] or [0])
+        first, stop = np.searchsorted(points, np.array([low, high]) - words.at[now]).tolist()
+        before = int(np.searchsorted(taken[0], stop))  # base spans that begin before the end
+        if not before or taken[1][before - 1] <= first:
+            out[now].append({"first": first, "stop": stop, "contexts": keys[i][hit[i]].view(np.int64).tolist()})
+    return out
 
+
+def _apart(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of overlapping spans of a document the first one stays."""
+    for batch in batches:
+        text, number = [], []
+        for spans in batch.column("spans").to_pylist():
+            kept: list[tuple[int, int, int]] = []
+            for s in spans:
+                if not kept or s["first"] >= kept[-1][2]:
+                    kept.append((len(BASE) + s["kind"], s["first"], s["stop"]))
+            text.append(_joined(sorted(kept)))
+            number.append(len(kept))
+        yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(text, pa.string()), pa.array(number, pa.int64())], ["row", "more", "n_context"])
+
+
+def context_spans(found: DataFrame, patterns: DataFrame, rows: int) -> DataFrame:
+    """(row, more, n_context): spans that reliable patterns find, of the documents that have some."""
+    near = found.filter(F.size("near") > 0).select("row", F.explode("near").alias("s"))
+    near = near.select("row", "s.first", "s.stop", F.explode("s.contexts").alias("context")).join(_small(patterns, rows), "context")
+    best = near.groupBy("row", "first", "stop").agg((-F.max(F.struct("score", (-F.col("kind")).alias("late")))["late"]).alias("kind"))
+    spans = best.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("first", "stop", "kind"))).alias("spans"))
+    return spans.mapInArrow(_apart, "row long, more string, n_context long")
+
+
+def _find(sought: Sought | None):
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for piece in slices(batch):
-                texts = piece.column("text").to_pylist()
-                base = [base_spans(x) if x else [] for x in texts]
-                more = context_spans(piece.column("text"), texts, base, patterns) if patterns else [[]] * len(texts)
+                texts, base = _read(piece)
+                near = near_contexts(piece.column("text"), texts, base, sought) if sought else [[]] * len(texts)
                 joined = [_joined(x) for x in base]
                 columns = [piece.column("doc_id")]
                 columns += [pa.array([sum(s[0] == k for s in x) for x in base], pa.int64()) for k in range(len(BASE))]
-                columns.append(pa.array([hashlib.sha256(x.encode()).hexdigest() for x in joined]))
-                columns.append(pa.array([_joined([*x, *y]) for x, y in zip(base, more)], pa.string()))
-                columns.append(pa.array([len(x) for x in more], pa.int64()))
-                yield pa.RecordBatch.from_arrays(columns, [*names])
+                columns.append(pa.array([hashlib.sha256(x.encode()).hexdigest() for x in joined], pa.string()))
+                columns += [pa.array(joined, pa.string()), pa.array(near, _NEAR_ARROW)]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", *(f"n_{k}" for k in BASE), "base_sha256", "base", "near"])
+
+    return find
+
 
-    names = ["doc_id", *(f"n_{k}" for k in BASE), "base_sha256", "spans", "n_context"]
+def find_personal_data(docs: DataFrame) -> DataFrame:
+    """doc_id, counts of base spans, base_sha256, spans, n_context of every document."""
+    patterns = learn_patterns(docs)
+    rows = patterns.count() if patterns is not None else 0
     kind = docs.schema["doc_id"].dataType.simpleString()
-    schema = f"doc_id {kind}, {', '.join(f'n_{k} long' for k in BASE)}, base_sha256 string, spans string, n_context long"
-    return docs.select("doc_id", "text").mapInArrow(find, schema)
+    schema = f"doc_id {kind}, {', '.join(f'n_{k} long' for k in BASE)}, base_sha256 string, base string, near {_NEAR}"
+    found = docs.select("doc_id", "text").mapInArrow(_find(Sought(patterns, rows) if rows else None), schema)
+    result = ["doc_id", *(f"n_{k}" for k in BASE), "base_sha256"]
+    if not rows:
+        return found.select(*result, F.col("base").alias("spans"), F.lit(0).cast("long").alias("n_context"))
+    found = stored(found.withColumn("row", F.monotonically_increasing_id()), "personal")
+    found = found.join(context_spans(found, patterns, rows), "row", "left")
+    both = F.concat_ws(",", F.when(F.col("base") != "", F.col("base")), "more").alias("spans")
+    return found.select(*result, both, F.coalesce("n_context", F.lit(0).cast("long")).alias("n_context"))

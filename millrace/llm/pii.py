@@ -13,8 +13,8 @@ with the word after.
    stand, unless a base span or a span before them overlaps. Of the patterns of a filler the best counts.
 
 Patterns, graph and scores are Spark tables of any size. Tasks get a bitmap of at most `BITS` bits of the contexts sought, so that
-few others leave the task; the join behind it is exact. With more than some 10 million patterns the bitmap lets more through, which costs time only.
-Score tables of up to `FEW` rows (counted) are broadcast, larger ones joined by a shuffle. Edges are pre-aggregated per slice and per (pattern, instance).
+few others leave the task; the join behind it is exact. With more than some 2 million patterns the bitmap lets more through, which costs time only.
+Score tables of up to `FEW` rows (counted) are broadcast, larger ones joined by a shuffle. Edges are pre-aggregated per task and per (pattern, instance).
 
 Cases: a null text is empty. Places are code points, ends are exclusive. No seeds, or no reliable pattern: base spans only. Of base spans that share
 words the first, of those that begin in one word the longest is a seed. Rows that repeat a document each get the same spans and count each
@@ -40,6 +40,8 @@ BASE = ("email", "ip", "card", "phone")
 LEAST_SEEDS, CONFIDENT, ROUNDS, RUN = 3, 0.5, 3, 8
 #: Bounds of what is sent to every task: bits of a bitmap of contexts (16 MB), rows of a score table.
 BITS, FEW = 1 << 27, 1_000_000
+#: Counts that a task holds before it sends them on.
+HELD = 200_000
 
 _LOCAL = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -182,7 +184,7 @@ class Sought:
     """A bitmap of contexts by their first bits: no context of the table is missed, few others pass."""
 
     def __init__(self, contexts: DataFrame, rows: int):
-        self.width = min(max(rows * 16, 1 << 16).bit_length(), BITS.bit_length() - 1)
+        self.width = min(max(rows * 64, 1 << 22).bit_length(), BITS.bit_length()) - 1
         bit = f"shiftrightunsigned(context, {64 - self.width})"
         cells = contexts.selectExpr(f"shiftrightunsigned({bit}, 6) AS cell", f"shiftleft(1L, cast({bit} & 63 AS int)) AS bits")
         cells = cells.groupBy("cell").agg(F.bit_or("bits").alias("bits")).toArrow()  # at most BITS / 64 rows
@@ -210,27 +212,33 @@ def _identifier(text: str) -> bool:
 def _graph(sought: Sought):
     """(context, instance, seed, n): what fills the slots of contexts; instance 0 stands for all ordinary words."""
 
+    def count(piece: pa.RecordBatch, counts: Counter) -> None:
+        texts, base = _read(piece)
+        slots = Slots(piece.column("text"))
+        slots.fill(texts, base)
+        keys = slots.keys(np.arange(len(slots.words)), slots.last)
+        hit = sought.among(keys) & slots.free[:, None]
+        plain, n = np.unique(keys[hit & ~slots.like[:, None]], return_counts=True)
+        for key, times in zip(plain.view(np.int64).tolist(), n.tolist()):
+            counts[key, 0, 0] += times
+        some = np.flatnonzero(hit.any(axis=1) & slots.like)
+        for i, own, of in zip(some.tolist(), keys[some].view(np.int64).tolist(), hit[some].tolist()):
+            seed = slots.seeds.get(i)
+            text = seed[1] if seed else _filler_text(slots.words, i, int(slots.last[i]))[2]
+            value = _value(text.lower()) if seed or _identifier(text) else 0
+            for key, there in zip(own, of):
+                if there:
+                    counts[key, value, int(seed is not None)] += 1
+
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, counts = ["context", "instance", "seed", "n"], Counter()
         for batch in batches:
             for piece in slices(batch):
-                counts: Counter = Counter()
-                texts, base = _read(piece)
-                slots = Slots(piece.column("text"))
-                slots.fill(texts, base)
-                keys = slots.keys(np.arange(len(slots.words)), slots.last)
-                hit = sought.among(keys) & slots.free[:, None]
-                plain, n = np.unique(keys[hit & ~slots.like[:, None]], return_counts=True)
-                for key, times in zip(plain.view(np.int64).tolist(), n.tolist()):
-                    counts[key, 0, 0] += times
-                some = np.flatnonzero(hit.any(axis=1) & slots.like)
-                for i, own, of in zip(some.tolist(), keys[some].view(np.int64).tolist(), hit[some].tolist()):
-                    seed = slots.seeds.get(i)
-                    text = seed[1] if seed else _filler_text(slots.words, i, int(slots.last[i]))[2]
-                    value = _value(text.lower()) if seed or _identifier(text) else 0
-                    for key, there in zip(own, of):
-                        if there:
-                            counts[key, value, int(seed is not None)] += 1
-                yield _rows(counts, ["context", "instance", "seed", "n"])
+                count(piece, counts)
+                if len(counts) > HELD:
+                    yield _rows(counts, names)
+                    counts = Counter()
+        yield _rows(counts, names)
 
     return read
 

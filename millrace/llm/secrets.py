@@ -37,6 +37,8 @@ WEAK = (
     ("endpoint", "endpoint", r"\bhttps?://[A-Za-z0-9][A-Za-z0-9.:_/-]*[A-Za-z0-9/]"),
 )
 KINDS = (*BASE, *(kind for kind, _, _ in WEAK))
+#: Matches of a text that are gathered at a time, so that texts with many matches do not cost their square.
+BLOCK = 256
 ROLES = {"assign": "secret", "access": "id", "hex": "secret", **{kind: role for kind, role, _ in WEAK}}
 
 
@@ -48,7 +50,8 @@ def spans(text: Column, kind: str, pattern: str, keep) -> Column:
     whole = F.lit(pattern)
     matches, between = F.regexp_extract_all(text, whole, F.lit(0)), F.split(text, pattern, -1)
     number = F.lit(KINDS.index(kind))
-    kind_of = "struct<at:int,found:array<struct<start:int,kind_no:int,end:int>>>"
+    span_of = "array<struct<start:int,kind_no:int,end:int>>"
+    kind_of, blocks_of = f"struct<at:int,found:{span_of}>", f"struct<at:int,found:array<{span_of}>>"
 
     def step(state: Column, pair: Column) -> Column:
         start = state["at"] + F.length(pair["gap"])
@@ -58,10 +61,18 @@ def spans(text: Column, kind: str, pattern: str, keep) -> Column:
             end.alias("at"), F.when(keep(pair["match"]), F.concat(state["found"], one)).otherwise(state["found"]).alias("found")
         )
 
+    def block(state: Column, index: Column) -> Column:
+        """One more block of matches; only its own array is copied match by match."""
+        none = F.struct(state["at"].alias("at"), F.array().cast(span_of).alias("found")).cast(kind_of)
+        part = F.aggregate(F.slice(pairs, index * BLOCK + 1, F.lit(BLOCK)), none, lambda s, p: step(s, p).cast(kind_of))
+        both = lambda x: F.struct(x["at"].alias("at"), F.concat(state["found"], F.array(x["found"])).alias("found"))
+        return F.transform(F.array(part), both)[0].cast(blocks_of)
+
     pairs = F.zip_with(F.slice(between, F.lit(1), F.size(matches)), matches, lambda g, m: F.struct(g.alias("gap"), m.alias("match")))
-    none = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,kind_no:int,end:int>>").alias("found"))
-    found = F.aggregate(pairs, none.cast(kind_of), lambda s, p: step(s, p).cast(kind_of), lambda s: s["found"])
-    return F.when(text.rlike(pattern), found).otherwise(F.array().cast("array<struct<start:int,kind_no:int,end:int>>"))
+    indexes = F.sequence(F.lit(0), F.floor((F.size(matches) - 1) / BLOCK).cast("int"))
+    none = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{span_of}>").alias("found")).cast(blocks_of)
+    found = F.aggregate(indexes, none, block, lambda s: F.flatten(s["found"]))
+    return F.when(text.rlike(pattern), found).otherwise(F.array().cast(span_of))
 
 
 def _value_length(match: Column) -> Column:
@@ -69,7 +80,7 @@ def _value_length(match: Column) -> Column:
 
 
 def candidates(docs: DataFrame) -> DataFrame:
-    """doc_id, row_key, base and weak spans of every document."""
+    """doc_id, base and weak spans of every document."""
     text = F.col("text")
     always = lambda m: F.lit(True)
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
@@ -83,29 +94,23 @@ def candidates(docs: DataFrame) -> DataFrame:
         for kind, _, pattern in WEAK
     ))
     free = F.filter("weak", lambda w: ~F.exists("base", lambda b: (b["start"] < w["end"]) & (w["start"] < b["end"])))
-    key = F.xxhash64("doc_id", "text").alias("row_key")
-    return rows.select("doc_id", key, base.alias("base"), weak.alias("weak")).withColumn("weak", free)
+    return rows.select("doc_id", base.alias("base"), weak.alias("weak")).withColumn("weak", free)
 
 
 def linked_parts(found: DataFrame, scope: int) -> DataFrame:
-    """(row_key, linked): per document with linked weak parts, their spans."""
-    parts = (
-        found.filter(F.size("weak") > 0)
-        .select("row_key", F.explode(F.concat("base", "weak")).alias("p"))
-        .select("row_key", "p.*")
-        .dropDuplicates()
-    )
+    """(row, linked): per row with linked weak parts, their spans."""
+    parts = found.filter(F.size("weak") > 0).select("row", F.explode(F.concat("base", "weak")).alias("p")).select("row", "p.*")
     roles = F.array(*(F.lit(ROLES[kind]) for kind in KINDS))
     parts = parts.withColumn("role", roles[F.col("kind_no")]).withColumn("bin", F.floor(F.col("start") / scope))
     of = lambda role, c: F.when(F.col("role") == role, F.col(c))
-    bins = parts.groupBy("row_key", "bin").agg(
+    bins = parts.groupBy("row", "bin").agg(
         F.min(of("id", "start")).alias("first_id"),
         F.max(of("id", "start")).alias("last_id"),
         F.min(of("secret", "start")).alias("first_secret"),
         F.max(of("secret", "start")).alias("last_secret"),
     )
     near = parts.filter(F.col("kind_no") >= len(BASE)).withColumn("b", F.explode(F.array(F.col("bin") - 1, F.col("bin"), F.col("bin") + 1)))
-    near = near.join(bins.withColumnsRenamed({"bin": "b"}), ["row_key", "b"])
+    near = near.join(bins.withColumnsRenamed({"bin": "b"}), ["row", "b"])
 
     def reach(role: str) -> Column:
         return (
@@ -114,14 +119,14 @@ def linked_parts(found: DataFrame, scope: int) -> DataFrame:
             .otherwise(F.col(f"first_{role}") - F.col("start") <= scope)
         )
 
-    met = near.groupBy("row_key", "start", "kind_no", "end", "role").agg(
+    met = near.groupBy("row", "start", "kind_no", "end", "role").agg(
         F.max(F.coalesce(reach("id"), F.lit(False))).alias("id"), F.max(F.coalesce(reach("secret"), F.lit(False))).alias("secret")
     )
     needed = (
         F.when(F.col("role") == "id", F.col("secret")).when(F.col("role") == "secret", F.col("id")).otherwise(F.col("id") & F.col("secret"))
     )
     span = F.struct("start", "kind_no", "end")
-    return met.filter(needed).groupBy("row_key").agg(F.collect_set(span).alias("linked"))
+    return met.filter(needed).groupBy("row").agg(F.collect_set(span).alias("linked"))
 
 
 def joined(all_spans: Column) -> Column:
@@ -132,10 +137,10 @@ def joined(all_spans: Column) -> Column:
 
 def find_secrets(docs: DataFrame, scope: int = 300) -> DataFrame:
     """doc_id, base and linked spans (start, kind_no, end) of every document; kind_no counts in `KINDS`."""
-    found = stored(candidates(docs), "secrets")
+    found = stored(candidates(docs).withColumn("row", F.monotonically_increasing_id()), "secrets")
     linked = linked_parts(found, scope)
     empty = F.array().cast("array<struct<start:int,kind_no:int,end:int>>")
-    return found.join(linked, "row_key", "left").select("doc_id", "base", F.coalesce("linked", empty).alias("linked"))
+    return found.join(linked, "row", "left").select("doc_id", "base", F.coalesce("linked", empty).alias("linked"))
 
 
 def secret_report(docs: DataFrame, scope: int = 300) -> DataFrame:

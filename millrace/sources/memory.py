@@ -11,6 +11,9 @@ from pyspark.sql import types as T
 
 from ..types import type_named
 
+# Tables of up to so many values and characters are marked to be sent to all tasks of a join.
+SMALL_VALUES, SMALL_CHARACTERS = 100_000, 1 << 20
+
 
 def _one_kind(values: Sequence[Any]) -> list[Any]:
     """Values of one kind; whole and decimal numbers mix, any other mix becomes text, None stays."""
@@ -31,7 +34,13 @@ def _frame(spark: SparkSession, columns: Mapping[str, Sequence[Any]]) -> DataFra
         kind = T.StringType() if known is None else spark.createDataFrame([(known,)], ["v"]).schema["v"].dataType
         fields.append(T.StructField(name, kind, True))
         data.append(same)
-    return spark.createDataFrame(list(zip(*data)), T.StructType(fields))
+    return _sized(spark.createDataFrame(list(zip(*data)), T.StructType(fields)), data)
+
+
+def _sized(rows: DataFrame, data: Sequence[Sequence[Any]]) -> DataFrame:
+    """Spark knows no size of rows from the driver and would shuffle the other side of a join by their keys; few ones are marked to be sent instead."""
+    small = sum(len(values) for values in data) <= SMALL_VALUES and sum(len(str(v)) for values in data for v in values) <= SMALL_CHARACTERS
+    return F.broadcast(rows) if small else rows
 
 
 def from_rows(spark: SparkSession, rows: Sequence[Mapping[str, Any] | Any]) -> DataFrame:
@@ -57,7 +66,7 @@ def from_typed(spark: SparkSession, fields: Sequence[tuple[str, str]], values: S
     """Column-major values with declared types; what does not fit its type becomes null."""
     text = T.StructType([T.StructField(f"c{i}", T.StringType(), True) for i in range(len(fields))])
     rows = [tuple(None if v is None else str(v) for v in row) for row in zip(*values)]
-    raw = spark.createDataFrame(rows, text)
+    raw = _sized(spark.createDataFrame(rows, text), rows)
     return raw.select(*[F.col(f"c{i}").try_cast(type_named(t)).alias(n) for i, (n, t) in enumerate(fields)])
 
 

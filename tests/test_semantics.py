@@ -345,3 +345,13 @@ def test_a_repeated_batch_replaces_itself_even_without_rows(spark, tmp_path):
     assert run(transform=lambda b: b.filter("id < 0")) == 1
     assert sorted(r.id for r in incremental.incremental_result(spark, out).collect()) == [0, 1, 2, 3, 4]
     assert run(transform=lambda b: b) == 0
+
+
+def test_few_rows_from_the_driver_are_sent_and_not_shuffled(spark):
+    flags = memory.from_columns(spark, {"flag": ["A", "R"], "meaning": ["accepted", "returned"]})
+    typed = memory.from_typed(spark, [("flag", "String"), ("low", "Int32")], [["A", "R"], ["1", "2"]])
+    lines = spark.range(1000).selectExpr("id", "substring('ARN', 1 + cast(id % 3 as int), 1) AS flag")
+    for small in (flags, typed):
+        joined = lines.join(small, "flag")
+        assert "BroadcastHashJoin" in joined._jdf.queryExecution().sparkPlan().toString()
+        assert joined.count() == 667

@@ -147,3 +147,14 @@ def test_duplicates_and_outer_rows(spark):
     assert out.columns == ["i", "n", "j", "m", "n_vs_m_levenshtein"]
     got = sorted(((r["i"], r["j"]) for r in out.collect()), key=str)
     assert got == sorted([(1, 1), (2, 1), (3, None), (4, None), (None, 2)], key=str)
+
+
+def test_under_hamming_hardly_any_but_similar_texts_meet(spark):
+    names = spark.range(2000).select(F.format_string("Customer#%09d", F.col("id") * 7).alias("t"))
+    texts = fuzzy._texts(names, ["t"], "l"), fuzzy._texts(names, ["t"], "r")
+    condition = fuzzy.FuzzyMap("t", "t", 94.0, "hamming")
+    met = {(r["l"], r["r"]) for r in fuzzy.key_pairs(*texts, 0, condition).collect()}
+    left, right = ({r["id"]: r[0] for r in side.select(c, "id").collect()} for side, c in zip(texts, ("l0", "r0")))
+    near = {(i, j) for i, a in left.items() for j, b in right.items() if sum(x != y for x, y in zip(a, b)) <= 1}
+    assert met == near
+    assert fuzzy._meetings(*texts, 0, condition).first()[0] <= 20 * len(near)

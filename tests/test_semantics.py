@@ -351,7 +351,11 @@ def test_few_rows_from_the_driver_are_sent_and_not_shuffled(spark):
     flags = memory.from_columns(spark, {"flag": ["A", "R"], "meaning": ["accepted", "returned"]})
     typed = memory.from_typed(spark, [("flag", "String"), ("low", "Int32")], [["A", "R"], ["1", "2"]])
     lines = spark.range(1000).selectExpr("id", "substring('ARN', 1 + cast(id % 3 as int), 1) AS flag")
-    for small in (flags, typed):
-        joined = lines.join(small, "flag")
-        assert "BroadcastHashJoin" in joined._jdf.queryExecution().sparkPlan().toString()
-        assert joined.count() == 667
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as if the other side were large
+    try:
+        for small in (flags, typed):
+            joined = lines.join(small, "flag")
+            assert "BroadcastHashJoin" in joined._jdf.queryExecution().sparkPlan().toString()
+            assert joined.count() == 667
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")

@@ -1,13 +1,14 @@
 """The fuzzy join against scoring every pair."""
 
 import random
+import tracemalloc
 
 import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from millrace.functions.similarity import MEASURES, score_batch, similarity
+from millrace.functions.similarity import MEASURES, _codes, damerau_scores, score_batch, similarity
 from millrace.operators import blocks, fuzzy
 from millrace.operators.fuzzy import fuzzy_join
 
@@ -118,6 +119,48 @@ def plain_jaro(a, b):
     return (m / len(a) + m / len(b) + (m - moved) / m) / 3 if m else float(not a and not b)
 
 
+def plain_swaps(a, b):
+    """Edits and swaps of neighbours, which may be edited again: from the whole table."""
+    far, seen = len(a) + len(b), {}
+    d = {(i, j): far for i in range(-1, len(a) + 1) for j in range(-1, len(b) + 1) if i < 0 or j < 0}
+    d |= {(i, 0): i for i in range(len(a) + 1)} | {(0, j): j for j in range(len(b) + 1)}
+    for i in range(1, len(a) + 1):
+        last = 0
+        for j in range(1, len(b) + 1):
+            k, m, same = seen.get(b[j - 1], 0), last, a[i - 1] == b[j - 1]
+            last = j if same else last
+            d[i, j] = min(d[i - 1, j - 1] + (not same), d[i, j - 1] + 1, d[i - 1, j] + 1, d[k - 1, m - 1] + i - k + j - m - 1)
+        seen[a[i - 1]] = i
+    return d[len(a), len(b)]
+
+
+def test_swaps_by_diagonals():
+    rng = random.Random(11)
+
+    def word(n):
+        return "".join(rng.choice("abc") for _ in range(n))
+
+    a = [word(rng.choice([0, 1, 2, 3, 6, 11, 80])) for _ in range(500)]
+    b = [word(rng.choice([0, 1, 3, 5, 10])) if k % 2 else a[k][::-1][: rng.randint(0, 15)] + a[k][15:] for k in range(500)]
+    (x, la), (y, lb) = _codes(a, -1), _codes(b, -2)
+    want, longest = np.array([plain_swaps(s, t) for s, t in zip(a, b)]), np.maximum(la, lb)
+    assert any(w < plain_edits(s, t) for w, s, t in zip(want, a, b))
+    for most in (None, 0, 1, 3, 8, 200):
+        got = np.rint((1 - damerau_scores(x, y, la, lb, most)) * np.maximum(longest, 1)).astype(int)
+        exact = (want <= (1000 if most is None else most)) | (longest == 0)
+        assert (got[exact] == want[exact]).all() and (got[~exact] > most).all()
+
+
+def test_swaps_keep_no_whole_table():
+    rng = np.random.default_rng(1)
+    x, y, size = rng.integers(0, 4, (4, 1500)), rng.integers(0, 4, (4, 1500)), np.full(4, 1500)
+    tracemalloc.start()
+    damerau_scores(x, y, size, size)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 4_000_000  # a table has 36 million bytes
+
+
 def test_bit_parallel_scores_of_all_lengths():
     rng = random.Random(7)
 

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from millrace.functions.similarity import MEASURES, _codes, damerau_scores, score_batch, similarity
-from millrace.operators import blocks, fuzzy
+from millrace.operators import blocks, fuzzy, heads
 from millrace.operators.fuzzy import fuzzy_join
 
 
@@ -201,3 +201,36 @@ def test_under_hamming_hardly_any_but_similar_texts_meet(spark):
     near = {(i, j) for i, a in left.items() for j, b in right.items() if sum(x != y for x, y in zip(a, b)) <= 1}
     assert met == near
     assert fuzzy._meetings(*texts, 0, condition).first()[0] <= 20 * len(near)
+
+
+def by_heads(monkeypatch, cut):
+    """Texts are cut after so many characters, and no other way is open."""
+    for name, value in (("FEW_PAIRS", 0), ("MEETING_COST", 0), ("FEW_MEETINGS", 10**6)):
+        monkeypatch.setattr(fuzzy, name, value)
+    monkeypatch.setattr(heads, "MOST_CUTS", 10**6)
+    monkeypatch.setattr(heads, "CUTS", (cut,))
+    for name in ("block_pairs", "key_pairs"):
+        monkeypatch.setattr(fuzzy, name, None)
+
+
+@pytest.mark.parametrize("cut, threshold", [(1, 72), (3, 55), (10, 72), (10, 90), (70, 72)])
+def test_ends_give_the_same_pairs(spark, monkeypatch, cut, threshold):
+    by_heads(monkeypatch, cut)
+    a, b = texts(threshold + cut)
+    if cut == 3:
+        a, b = b, a
+    left = spark.createDataFrame([*enumerate(a * 2), (-1, None)], "i int, a string")
+    right = spark.createDataFrame([*enumerate(b), (-1, None)], "j int, b string")
+    edits = [(i, j) for i, x in enumerate(a * 2) for j, y in enumerate(b) if plain_edits(x, y) <= (1 - threshold / 100 + 1e-9) * max(len(x), len(y))]
+    assert sorted(pairs_of(left, right, [("a", "b", threshold, "levenshtein")])) == sorted(edits)
+
+
+def test_texts_with_few_heads_meet_on_their_ends(spark, monkeypatch):
+    monkeypatch.setattr(fuzzy, "FEW_PAIRS", 0)
+    monkeypatch.setattr(fuzzy, "block_pairs", None)  # no comparison of all pairs
+    customers = spark.range(2500).select(F.col("id").alias("i"), F.format_string("Customer#%09d", F.col("id") * 3).alias("a"))
+    suppliers = spark.range(400).select(F.col("id").alias("j"), F.format_string("Supplier#%09d", F.col("id") * 4).alias("b"))
+    want = [(i, j) for i in range(2500) for j in range(400) if 3 * i == 4 * j]
+    assert sorted(pairs_of(customers, suppliers, [("a", "b", 72, "levenshtein")])) == want
+    back = fuzzy_join(suppliers, customers, [("b", "a", 72, "levenshtein")], "left")
+    assert sorted((r["i"], r["j"]) for r in back.collect() if r["i"] is not None) == want and back.count() == 400

@@ -8,7 +8,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from millrace.functions.similarity import MEASURES, _codes, damerau_scores, score_batch, similarity
+from millrace.functions.similarity import MEASURES, _codes, damerau_scores, indel_scores, levenshtein_scores, score_batch, similarity
 from millrace.operators import blocks, fuzzy, heads
 from millrace.operators.fuzzy import fuzzy_join
 
@@ -177,6 +177,18 @@ def test_bit_parallel_scores_of_all_lengths():
     assert np.allclose(score_batch("hamming", left, right).astype(float), same)
 
 
+@pytest.mark.parametrize("scores", [levenshtein_scores, indel_scores])
+def test_edits_near_the_middle_of_the_table(scores):
+    rng = random.Random(13)
+    a = ["".join(rng.choice("abc") for _ in range(rng.choice([0, 1, 2, 5, 12, 40, 70]))) for _ in range(600)]
+    b = [a[k - 1] if k % 2 else s[1:3] + s[rng.randint(3, 5) :] + rng.choice(["", "a", "cb"]) for k, s in enumerate(a)]
+    (x, la), (y, lb) = _codes(a, -1), _codes(b, -2)
+    want, total = scores(x, y, la, lb), la + lb if scores is indel_scores else np.maximum(la, lb)
+    for most in (0, 1, 4, 24, 25):
+        got, near = scores(x, y, la, lb, most), np.rint((1 - want) * total) <= most
+        assert near.any() and (got[near] == want[near]).all() and ((1 - got[~near]) * total[~near] > most).all()
+
+
 def test_indel_is_the_longest_common_subsequence(spark):
     df = spark.createDataFrame([("abcde", "ace"), ("", ""), ("abc", "xyz")], "a string, b string")
     got = [r[0] for r in df.select(similarity(F.col("a"), F.col("b"), "indel")).collect()]

@@ -215,6 +215,25 @@ def test_under_hamming_hardly_any_but_similar_texts_meet(spark):
     assert fuzzy._meetings(*texts, 0, condition).first()[0] <= 20 * len(near)
 
 
+@pytest.mark.parametrize("few", [0, 10**9])
+def test_neither_texts_nor_rows_are_broadcast(spark, monkeypatch, few):
+    monkeypatch.setattr(fuzzy, "FEW_PAIRS", few)
+    names = spark.range(2000).select(F.col("id").alias("i"), F.format_string("Customer#%09d", F.col("id") * 7).alias("a"))
+    found = fuzzy_join(names, names.withColumnsRenamed({"i": "j", "a": "b"}), [("a", "b", 94, "hamming", "s")])
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastExchange" not in plan and ("placed_keys" in plan) == (few == 0)
+    assert found.filter("s = 1").count() == 2000
+
+
+def test_keys_are_counted_without_a_broadcast(spark):
+    texts = spark.createDataFrame([("abcd",), ("abce",), ("xyz",)], "t string")
+    met = fuzzy.candidate_count(texts, texts.filter("t <> 'xyz'"), ("t", "t", 70, "hamming"))
+    assert "BroadcastExchange" not in met._jdf.queryExecution().executedPlan().toString()
+    keys = [spark.createDataFrame([(k,) for k in side], "key long") for side in ([1, 1, 2, 3], [1, 1, 1, 3, 4])]
+    assert fuzzy._met_on(*keys, ["key"]).first()[0] == 7
+    assert fuzzy._met_on(keys[0].filter("key > 9"), keys[1], ["key"]).first()[0] == 0
+
+
 def by_heads(monkeypatch, cut):
     """Texts are cut after so many characters, and no other way is open."""
     for name, value in (("FEW_PAIRS", 0), ("MEETING_COST", 0), ("FEW_MEETINGS", 10**6)):
